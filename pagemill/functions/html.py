@@ -8,15 +8,17 @@ styles hold no markup; they are blanked first but still separate text.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import decode_entities, normalize_space, strip, to_number
+from pagemill.functions.text import decode_entities, normalize_space, strip
 
 MIN_CELLS = 5
 
 # Attributes up to the closing bracket; quoted values may hold a bracket.
 _ATTRS = r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+"""
 _BLANKED = "<!>"
-_HIDDEN = r"(?is)<!--.*?-->|<(script|style)(?=[\s>]).*?</\1\s*>"
-_TAG = rf"(?s)<!>|</?[A-Za-z]{_ATTRS}>"
+_HIDDEN = r"(?is)<(?:!--.*?-->|(script|style)(?=[\s>]).*?</\1\s*>)"
+_TAG = rf"<(?:!|/?[A-Za-z]{_ATTRS})>"
+# A noncharacter: it stands for a tag while a text is split.
+_MARK = "\uffff"
 
 
 def _open(tag: str) -> str:
@@ -28,59 +30,83 @@ def _open_with(tag: str, attribute: str, value: str) -> str:
     return rf"""<{tag}(?=[^>]*\s{attribute}\s*=\s*(?:"[^">]*{value}|'[^'>]*{value})){_ATTRS}>"""
 
 
-_TABLE = rf"(?is){_open('table')}(.*?)(?:</table\s*>|\z)"
-_ROW = rf"(?is){_open('tr')}(.*?)</tr\s*>"
-_CELL = rf"(?is){_open('td')}(.*?)</td\s*>"
-_ANCHOR = rf"(?is){_open('a')}"
-_BEFORE_HREF = r"""(?is)^<a(?:\s+(?!href[\s=/>])[^\s=/>"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*+\s+"""
-_HREF = _BEFORE_HREF + r"""href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-_HREF_NAME = _BEFORE_HREF + r"href[\s=/>]"
-_PAGER = rf"(?is){_open_with('ul', 'class', 'pagination')}(.*?)</ul\s*>"
-_PAGER_ITEM = rf"(?is){_open('li')}(.*?)</li\s*>"
-_PAGER_ACTIVE = rf"(?is){_open_with('li', 'class', 'active')}(.*?)</li\s*>"
-_PAGER_LAST = rf"(?is){_open_with('a', 'ng-switch-when', 'last')}(.*?)</a\s*>"
-_ANCHOR_BODY = rf"(?is){_open('a')}(.*?)</a\s*>"
-_SIZES = rf"(?is){_open_with('div', 'class', 'ng-table-counts')}(.*?)</div\s*>"
-_SIZE_ACTIVE = rf"(?is){_open_with('button', 'class', 'active')}(.*?)</button\s*>"
+def _content(tag: str) -> str:
+    """Everything up to the first closing tag, taken run by run, not by character."""
+    return rf"([^<]*+(?:<(?!/{tag}[\s>])[^<]*+)*+)"
+
+
+def _element(tag: str, opening: str | None = None) -> str:
+    return rf"(?i){opening or _open(tag)}{_content(tag)}</{tag}\s*>"
+
+
+_TABLE = rf"(?i){_open('table')}{_content('table')}"
+_ROW = _element("tr")
+_CELL = _element("td")
+_ANCHOR = rf"(?i){_open('a')}"
+_ANCHOR_BODY = _element("a")
+# The first anchor with, when it has one, the value of its target attribute.
+_BEFORE_HREF = r"""(?i)<a(?=[\s>/])(?:\s+(?!href[\s=/>])[^\s=/>"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*+"""
+_HREF = _BEFORE_HREF + r"""(?:\s+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
+_HREF_NAME = _BEFORE_HREF + r"(\s+href[\s=/>])?"
+_PAGER = _element("ul", _open_with("ul", "class", "pagination"))
+_PAGER_ITEM = _element("li")
+_PAGER_ACTIVE = _element("li", _open_with("li", "class", "active"))
+_PAGER_LAST = _element("a", _open_with("a", "ng-switch-when", "last"))
+_SIZES = _element("div", _open_with("div", "class", "ng-table-counts"))
+_SIZE_ACTIVE = _element("button", _open_with("button", "class", "active"))
 
 
 def visible_markup(html: Column) -> Column:
-    """The page without the content of comments, scripts and styles."""
+    """The page without the content of comments, scripts and styles.
+
+    The other expressions of this module take markup that went through this.
+    """
     return F.regexp_replace(html, _HIDDEN, _BLANKED)
 
 
-def table_cells(html: Column) -> Column:
+def table_cells(markup: Column) -> Column:
     """Cells of each row of the first table; header rows have none."""
-    table = F.regexp_extract(visible_markup(html), _TABLE, 1)
+    table = F.regexp_extract(markup, _TABLE, 1)
     return F.transform(
         F.regexp_extract_all(table, F.lit(_ROW), F.lit(1)),
         lambda row: F.regexp_extract_all(row, F.lit(_CELL), F.lit(1)),
     )
 
 
-def whole_rows(html: Column) -> Column:
+def whole_rows(markup: Column) -> Column:
     """Rows of the first table that have all the cells of a listing."""
-    return F.filter(table_cells(html), lambda cells: F.size(cells) >= MIN_CELLS)
+    return F.filter(table_cells(markup), lambda cells: F.size(cells) >= MIN_CELLS)
 
 
-def row_count(html: Column) -> Column:
+def row_count(markup: Column) -> Column:
     """How many whole rows the first table has; a page without a table has 0."""
-    return F.coalesce(F.size(whole_rows(html)), F.lit(0))
+    return F.coalesce(F.size(whole_rows(markup)), F.lit(0))
 
 
 def text_of(markup: Column) -> Column:
     """Text pieces between tags, each stripped, joined without a separator."""
-    pieces = F.transform(F.split(markup, _TAG), lambda piece: strip(decode_entities(piece)))
-    return F.when(F.contains(markup, F.lit("<")), F.array_join(pieces, "")).otherwise(strip(decode_entities(markup)))
+    marked = F.split(F.regexp_replace(markup, _TAG, _MARK), _MARK)
+    pieces = F.transform(marked, lambda piece: strip(decode_entities(piece)))
+    plain = strip(decode_entities(markup))
+    return F.when(F.contains(markup, F.lit("<")), F.array_join(pieces, "")).otherwise(plain)
+
+
+def href_markup(markup: Column) -> Column:
+    """The target of the first anchor as written, quotes included, else empty."""
+    return F.regexp_extract(markup, _HREF, 1)
 
 
-def first_href(markup: Column) -> Column:
-    """Target of the first anchor; NULL without an anchor or without a target."""
-    tag = F.regexp_extract(markup, _ANCHOR, 0)
-    raw = F.regexp_extract(tag, _HREF, 1)
-    quoted = raw.startswith('"') | raw.startswith("'")
-    value = F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    return F.when(raw != "", decode_entities(value)).when(F.rlike(tag, F.lit(_HREF_NAME)), F.lit(""))
+def first_href(markup: Column, written: Column) -> Column:
+    """Target of the first anchor; NULL without an anchor or without a target.
+
+    ``written`` is ``href_markup``; only without it the anchor is looked at
+    again, since a target attribute may have no value.
+    """
+    quoted = F.rlike(written, F.lit("^[\"']"))
+    value = F.when(quoted, F.substring(written, F.lit(2), F.length(written) - 2)).otherwise(written)
+    return F.when(written != "", decode_entities(value)).when(
+        F.regexp_extract(markup, _HREF_NAME, 1) != "", F.lit("")
+    )
 
 
 def next_page(current: Column, last: Column) -> Column:
@@ -88,37 +114,29 @@ def next_page(current: Column, last: Column) -> Column:
     return F.least(current + 1, last)
 
 
-def pagination(html: Column) -> Column:
-    """Pagination state ``struct<current, next, last>``.
+def pager(markup: Column) -> Column:
+    """Content of the first pager; empty when there is none."""
+    return F.regexp_extract(markup, _PAGER, 1)
 
-    A page whose pager is missing, has texts that are no numbers, or offers no
-    link to the next page counts as the only page of its category.
-    """
-    pager = F.regexp_extract(visible_markup(html), _PAGER, 1)
-    current = to_number(text_of(F.regexp_extract(F.regexp_extract(pager, _PAGER_ACTIVE, 1), _ANCHOR_BODY, 1)))
-    last = to_number(text_of(F.regexp_extract(pager, _PAGER_LAST, 1)))
-    linked = F.transform(
-        F.filter(F.regexp_extract_all(pager, F.lit(_PAGER_ITEM), F.lit(1)), lambda item: F.rlike(item, F.lit(_ANCHOR))),
-        lambda item: normalize_space(text_of(item)),
-    )
-    return pagination_state(current, last, linked)
 
+def current_page_markup(pager: Column) -> Column:
+    return F.regexp_extract(F.regexp_extract(pager, _PAGER_ACTIVE, 1), _ANCHOR_BODY, 1)
 
-def pagination_state(current: Column, last: Column, linked: Column) -> Column:
-    following = next_page(current, last)
-    found = (
-        current.isNotNull() & last.isNotNull() & F.array_contains(linked, F.coalesce(following.cast("string"), F.lit("")))
-    )
-    one = F.lit(1)
-    return F.struct(
-        F.when(found, current).otherwise(one).alias("current"),
-        F.when(found, following).otherwise(one).alias("next"),
-        F.when(found, last).otherwise(one).alias("last"),
+
+def last_page_markup(pager: Column) -> Column:
+    return F.regexp_extract(pager, _PAGER_LAST, 1)
+
+
+def linked_pages(pager: Column) -> Column:
+    """Texts of the pager items that hold a link."""
+    items = F.regexp_extract_all(pager, F.lit(_PAGER_ITEM), F.lit(1))
+    return F.transform(
+        F.filter(items, lambda item: F.rlike(item, F.lit(_ANCHOR))),
+        lambda item: normalize_space(text_of(item)),
     )
 
 
-def items_per_page(html: Column) -> Column:
-    """The page size in use, from the size buttons; 0 when there is none."""
-    sizes = F.regexp_extract(visible_markup(html), _SIZES, 1)
-    active = F.try_element_at(F.regexp_extract_all(sizes, F.lit(_SIZE_ACTIVE), F.lit(1)), F.lit(-1))
-    return F.coalesce(to_number(text_of(active)), F.lit(0))
+def size_markup(markup: Column) -> Column:
+    """Content of the size button in use; NULL when there is none."""
+    sizes = F.regexp_extract(markup, _SIZES, 1)
+    return F.try_element_at(F.regexp_extract_all(sizes, F.lit(_SIZE_ACTIVE), F.lit(1)), F.lit(-1))

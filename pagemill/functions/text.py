@@ -75,10 +75,10 @@ def _char(code: Column) -> Column:
 
 
 def _named_entities() -> Column:
+    # One literal text, so that the map is folded to a constant while planning.
     names = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
-    return F.map_from_arrays(
-        F.array(*[F.lit(name) for name in names]), F.array(*[F.lit(char) for char in names.values()])
-    )
+    pairs = "\x01".join(f"{name}\x02{char}" for name, char in names.items())
+    return F.str_to_map(F.lit(pairs), F.lit("\x01"), F.lit("\x02"))
 
 
 def is_number(text: Column) -> Column:

@@ -9,18 +9,77 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
 from pagemill.functions.text import blank_to_null, is_number, to_number
-from pagemill.schemas import CATALOG_COLUMNS
 
 
-def _listing_columns(cells: Column) -> list[Column]:
-    # The first cell is a selector; the next four hold the listing.
-    return [
+def _listing_columns(rows: DataFrame) -> DataFrame:
+    """Rows with their ``cells`` replaced by the listing columns.
+
+    The first cell is a selector; the next four hold the listing.
+    """
+    kept = [c for c in rows.columns if c not in ("id", "page", "cells")]
+    cells = F.col("cells")
+    return rows.withColumn("_href", H.href_markup(cells[1])).select(
+        "id",
+        "page",
         blank_to_null(H.text_of(cells[1])).alias("drug"),
-        H.first_href(cells[1]).alias("link"),
+        H.first_href(cells[1], F.col("_href")).alias("link"),
         blank_to_null(H.text_of(cells[2])).alias("company"),
         blank_to_null(H.text_of(cells[3])).alias("protocol"),
         blank_to_null(H.text_of(cells[4])).alias("pub_date"),
-    ]
+        *kept,
+    )
+
+
+def visible(pages: DataFrame) -> DataFrame:
+    """Pages with ``html`` replaced by its visible ``markup``."""
+    kept = [c for c in pages.columns if c != "html"]
+    return pages.select(*kept, H.visible_markup(F.col("html")).alias("markup"))
+
+
+def with_pagination(pages: DataFrame) -> DataFrame:
+    """Visible pages with the ``current``, ``next`` and ``last`` page they show.
+
+    A page whose pager is missing, has texts that are no numbers, or offers no
+    link to the next page counts as the only page of its category.
+
+    Each step is a projection of its own, so that no step is evaluated, or
+    planned, as many times as the next one mentions it.
+    """
+    kept = pages.columns
+    pager = F.col("pager")
+    steps = (
+        pages.withColumn("pager", H.pager(F.col("markup")))
+        .select(
+            *kept,
+            H.text_of(H.current_page_markup(pager)).alias("current_text"),
+            H.text_of(H.last_page_markup(pager)).alias("last_text"),
+            H.linked_pages(pager).alias("linked"),
+        )
+        .select(*kept, "linked", to_number(F.col("current_text")).alias("shown"), to_number(F.col("last_text")).alias("end"))
+        .select(*kept, "linked", "shown", "end", H.next_page(F.col("shown"), F.col("end")).alias("following"))
+    )
+    found = (
+        F.col("shown").isNotNull()
+        & F.col("end").isNotNull()
+        & F.array_contains("linked", F.coalesce(F.col("following").cast("string"), F.lit("")))
+    )
+    states = steps.withColumn("found", found)
+
+    def shown_or_one(name: str) -> Column:
+        return F.when(F.col("found"), F.col(name)).otherwise(F.lit(1))
+
+    return states.select(
+        *kept,
+        shown_or_one("shown").alias("current"),
+        shown_or_one("following").alias("next"),
+        shown_or_one("end").alias("last"),
+    )
+
+
+def with_items_page(pages: DataFrame) -> DataFrame:
+    """Visible pages with the page size in use; 0 when none is shown."""
+    sized = pages.withColumn("_size", H.text_of(H.size_markup(F.col("markup"))))
+    return sized.withColumn("items_page", F.coalesce(to_number(F.col("_size")), F.lit(0))).drop("_size")
 
 
 def extract_listing_rows(pages: DataFrame) -> DataFrame:
@@ -30,10 +89,10 @@ def extract_listing_rows(pages: DataFrame) -> DataFrame:
     without a table or without whole rows give no rows.
     """
     kept = [c for c in pages.columns if c not in ("id", "page", "html")]
-    return (
-        pages.select("id", "page", *kept, F.posexplode(H.whole_rows(F.col("html"))).alias("pos", "cells"))
-        .select("id", "page", *_listing_columns(F.col("cells")), *kept, "pos")
+    rows = visible(pages).select(
+        "id", "page", *kept, F.posexplode(H.whole_rows(F.col("markup"))).alias("pos", "cells")
     )
+    return _listing_columns(rows)
 
 
 def extract_chunk_rows(pages: DataFrame) -> DataFrame:
@@ -42,36 +101,29 @@ def extract_chunk_rows(pages: DataFrame) -> DataFrame:
     A page without whole rows gives one row whose ``pos`` is NULL, so that the
     stop at the first empty page can be decided without parsing the page again.
     """
-    state = H.pagination(F.col("html"))
-    exploded = pages.select(
+    rows = with_pagination(visible(pages)).select(
         "id",
         "page",
         "batch",
-        state["last"].alias("last_page"),
-        F.posexplode_outer(H.whole_rows(F.col("html"))).alias("pos", "cells"),
+        F.col("last").alias("last_page"),
+        F.posexplode_outer(H.whole_rows(F.col("markup"))).alias("pos", "cells"),
     )
-    return exploded.select(*CATALOG_COLUMNS[:2], *_listing_columns(F.col("cells")), "batch", "pos", "last_page")
+    return _listing_columns(rows)
 
 
 def malformed_rows(pages: DataFrame) -> DataFrame:
     """Rows with some cells but too few: their index in the table and cell count."""
-    return (
-        pages.select("id", "page", F.posexplode(H.table_cells(F.col("html"))).alias("row", "cells"))
-        .select("id", "page", "row", F.size("cells").alias("found"))
-        .where(F.col("found").between(1, H.MIN_CELLS - 1))
-    )
-
-
-def numeric_guard(rows: DataFrame, text: str, number: str = "number") -> DataFrame:
-    """Rows with ``text`` checked: ``valid`` and the parsed ``number``, NULL if rejected."""
-    return rows.select(
-        "*", is_number(F.col(text)).alias("valid"), to_number(F.col(text)).alias(number)
-    )
+    rows = visible(pages).select("id", "page", F.posexplode(H.table_cells(F.col("markup"))).alias("row", "cells"))
+    counted = rows.select("id", "page", "row", F.size("cells").alias("found"))
+    return counted.where(F.col("found").between(1, H.MIN_CELLS - 1))
 
 
 def page_states(pages: DataFrame) -> DataFrame:
     """Pagination state and page size that each landed page shows."""
-    state = H.pagination(F.col("html"))
-    return pages.select(
-        "id", "page", state.alias("state"), H.items_per_page(F.col("html")).alias("items_page")
-    ).select("id", "page", "state.current", "state.next", "state.last", "items_page")
+    states = with_items_page(with_pagination(visible(pages)))
+    return states.select("id", "page", "current", "next", "last", "items_page")
+
+
+def numeric_guard(rows: DataFrame, text: str, number: str = "number") -> DataFrame:
+    """Rows with ``text`` checked: ``valid`` and the parsed ``number``, NULL if rejected."""
+    return rows.select("*", is_number(F.col(text)).alias("valid"), to_number(F.col(text)).alias(number))

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
+from pagemill.operators.extract import visible, with_items_page, with_pagination
 from pagemill.schemas import CATEGORY_IDS, METADATA_COLUMNS
 
 
@@ -34,12 +35,9 @@ def volume_estimate(page_counts: DataFrame) -> DataFrame:
 
 def first_page_stats(pages: DataFrame) -> DataFrame:
     """Per category: page size, announced last page and rows of the first page."""
-    html = F.col("html")
-    return pages.where(F.col("page") == 1).select(
-        "id",
-        H.items_per_page(html).alias("items_page"),
-        H.pagination(html)["last"].alias("last_page"),
-        H.row_count(html).alias("first_rows"),
+    first = with_items_page(with_pagination(visible(pages.where(F.col("page") == 1))))
+    return first.select(
+        "id", "items_page", F.col("last").alias("last_page"), H.row_count(F.col("markup")).alias("first_rows")
     )
 
 
@@ -54,7 +52,8 @@ def crawl_metadata(domain: DataFrame, pages: DataFrame, first: DataFrame | None
         first = first_page_stats(pages)
     first = F.broadcast(first.join(F.broadcast(domain), "id", "left_semi"))
     wanted = first.select("id", F.col("last_page").alias("page"))
-    last = pages.join(wanted, ["id", "page"]).select("id", H.row_count(F.col("html")).alias("last_rows"))
+    last_pages = visible(pages.join(wanted, ["id", "page"]))
+    last = last_pages.select("id", H.row_count(F.col("markup")).alias("last_rows"))
     found = first.join(last, "id").select(
         "id",
         "items_page",

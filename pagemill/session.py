@@ -12,6 +12,7 @@ def local_session(cpus: int | str = 8, **extra: str) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for name, value in extra.items():
         builder = builder.config(name, value)
