@@ -85,10 +85,9 @@ def row_count(markup: Column) -> Column:
 
 def text_of(markup: Column) -> Column:
     """Text pieces between tags, each stripped, joined without a separator."""
-    marked = F.split(F.regexp_replace(markup, _TAG, _MARK), _MARK)
-    pieces = F.transform(marked, lambda piece: strip(decode_entities(piece)))
-    plain = strip(decode_entities(markup))
-    return F.when(F.contains(markup, F.lit("<")), F.array_join(pieces, "")).otherwise(plain)
+    tags = F.contains(markup, F.lit("<"))
+    marked = F.when(tags, F.regexp_replace(markup, _TAG, _MARK)).otherwise(markup)
+    return F.array_join(F.transform(F.split(marked, _MARK), lambda piece: strip(decode_entities(piece))), "")
 
 
 def href_markup(markup: Column) -> Column:

@@ -17,15 +17,22 @@ def _listing_columns(rows: DataFrame) -> DataFrame:
     The first cell is a selector; the next four hold the listing.
     """
     kept = [c for c in rows.columns if c not in ("id", "page", "cells")]
-    cells = F.col("cells")
-    return rows.withColumn("_href", H.href_markup(cells[1])).select(
+    listing = F.slice("cells", 2, 4)
+    texts = rows.withColumn("_href", H.href_markup(F.col("cells")[1])).withColumn(
+        "_texts", F.transform(listing, H.text_of)
+    )
+
+    def text(place: int, name: str) -> Column:
+        return blank_to_null(F.col("_texts")[place]).alias(name)
+
+    return texts.select(
         "id",
         "page",
-        blank_to_null(H.text_of(cells[1])).alias("drug"),
-        H.first_href(cells[1], F.col("_href")).alias("link"),
-        blank_to_null(H.text_of(cells[2])).alias("company"),
-        blank_to_null(H.text_of(cells[3])).alias("protocol"),
-        blank_to_null(H.text_of(cells[4])).alias("pub_date"),
+        text(0, "drug"),
+        H.first_href(F.col("cells")[1], F.col("_href")).alias("link"),
+        text(1, "company"),
+        text(2, "protocol"),
+        text(3, "pub_date"),
         *kept,
     )
 
@@ -51,11 +58,10 @@ def with_pagination(pages: DataFrame) -> DataFrame:
         pages.withColumn("pager", H.pager(F.col("markup")))
         .select(
             *kept,
-            H.text_of(H.current_page_markup(pager)).alias("current_text"),
-            H.text_of(H.last_page_markup(pager)).alias("last_text"),
+            F.transform(F.array(H.current_page_markup(pager), H.last_page_markup(pager)), H.text_of).alias("ends"),
             H.linked_pages(pager).alias("linked"),
         )
-        .select(*kept, "linked", to_number(F.col("current_text")).alias("shown"), to_number(F.col("last_text")).alias("end"))
+        .select(*kept, "linked", to_number(F.col("ends")[0]).alias("shown"), to_number(F.col("ends")[1]).alias("end"))
         .select(*kept, "linked", "shown", "end", H.next_page(F.col("shown"), F.col("end")).alias("following"))
     )
     found = (
