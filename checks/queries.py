@@ -123,8 +123,8 @@ def merge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored unique base takes in stored new rows."""
     root, (old, new) = storage.shared_dir(spark), _old_and_new(spark, sf_dir)
-    base = harvest.staged(C.keep_last(old), f"{root}/base", "1")
-    return C.upsert_keep_last(base, harvest.staged(new, f"{root}/new", "1"))
+    base = snapshots.staged(C.keep_last(old), f"{root}/base", "1")
+    return C.upsert_keep_last(base, snapshots.staged(new, f"{root}/new", "1"))
 
 
 def write_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,8 +244,7 @@ def harvest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, space = _landed(spark, sf_dir)
     harvest.crawl(spark, pages, space)
     for batch in (0, 1):
-        landed = landing.read_pages(spark, pages).where(F.col("batch") == batch)
-        chunks.write_chunks(extract.extract_chunk_rows(landed), space.chunks, str(batch))
+        harvest.store_pages(landing.read_pages(spark, pages).where(F.col("batch") == batch), space, str(batch))
         harvest.consolidate_chunks(spark, space, csv=False)
     return harvest.check_by_category(spark, space)
 
@@ -254,7 +253,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old pages arrive by stream and make the catalog, new ones are upserted."""
     root = storage.shared_dir(spark)
     space = harvest.Workspace(f"{root}/space")
-    pages = harvest.staged(fx.listing_pages(spark, sf_dir), f"{root}/pages", "1")
+    pages = snapshots.staged(fx.listing_pages(spark, sf_dir), f"{root}/pages", "1")
     for batch in (0, 1):
         pages.where(F.col("batch") == batch).repartition(4).write.mode("append").parquet(f"{root}/landing")
         ingest.stream_upsert(spark, f"{root}/landing", space, files_per_batch=2)

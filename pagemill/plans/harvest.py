@@ -99,9 +99,14 @@ def save_pages(spark: SparkSession, pages_path: str, space: Workspace, starts: l
     wanted = F.lit(False)
     for category_id, start in starts:
         wanted = wanted | ((F.col("id") == category_id) & (F.col("page") >= start))
-    pages = landing.read_pages(spark, pages_path).where(wanted)
-    chunks.write_chunks(extract_chunk_rows(pages), space.chunks, load)
-    log_load(spark, space, load)
+    store_pages(landing.read_pages(spark, pages_path).where(wanted), space, load)
+
+
+def store_pages(pages: DataFrame, space: Workspace, load: str) -> None:
+    """Extract landed pages into a load of chunks and log it."""
+    current = landing.current_pages(pages, f"{space.staged}/repeated", load)
+    chunks.write_chunks(extract_chunk_rows(current), space.chunks, load)
+    log_load(pages.sparkSession, space, load)
 
 
 def log_load(spark: SparkSession, space: Workspace, load: str, now: str | None = None) -> None:
@@ -125,21 +130,15 @@ def consolidate_chunks(spark: SparkSession, space: Workspace, force: bool = Fals
     if stored is None or stored.isEmpty():
         return None
     run_name = snapshots.new_run()
-    stale = staged(stale_versions(stored, chunks.VERSION), f"{space.staged}/stale", run_name)
+    stale = snapshots.staged(stale_versions(stored, chunks.VERSION), f"{space.staged}/stale", run_name)
     current = without_versions(stored, stale, chunks.VERSION)
-    new = staged(chunks.catalog_rows(chunks.saved_rows(current)), f"{space.staged}/new", run_name)
+    new = snapshots.staged(chunks.catalog_rows(chunks.saved_rows(current)), f"{space.staged}/new", run_name)
     CatalogStore(spark, space.root).merge(new, run_name, "overwrite" if force else "merge", csv)
     chunks.delete_chunks(spark, space.chunks)
     storage.delete(spark, space.staged)
     return run_name
 
 
-def staged(rows: DataFrame, table: str, run_name: str) -> DataFrame:
-    """The rows, written as a table and read back."""
-    snapshots.write_run(rows, table, run_name)
-    return snapshots.read_run(rows.sparkSession, table, run_name, rows.schema)
-
-
 def check(spark: SparkSession, space: Workspace) -> DataFrame:
     """Expected against found rows over the whole catalog, as one row."""
     return reconcile.completeness_global(*_catalog_and_metadata(spark, space))

@@ -1,10 +1,14 @@
-"""Landed listing pages."""
+"""Landed listing pages.
+
+A page may have landed more than once: again in a later batch, or as a copy.
+It counts once, in its newest form.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.operators.catalog import latest_pages
 from pagemill.schemas import LISTING_PAGES
+from pagemill.sources.snapshots import staged
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -15,9 +19,30 @@ def stream_pages(spark: SparkSession, path: str, files_per_batch: int) -> DataFr
     return spark.readStream.schema(LISTING_PAGES).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def newest_pages(pages: DataFrame) -> DataFrame:
+    """One row per page.  Copies are combined before the shuffle."""
+    newest = F.max_by(F.struct("batch", "html"), F.struct("batch", F.xxhash64("html"))).alias("_newest")
+    one = pages.groupBy("id", "page").agg(newest)
+    return one.select("id", "page", F.col("_newest.batch").alias("batch"), F.col("_newest.html").alias("html"))
+
+
+def current_pages(pages: DataFrame, stage: str, run: str) -> DataFrame:
+    """``newest_pages`` that moves only the pages which landed more than once.
+
+    Which ones these are is found from the keys alone and written under
+    ``stage``.  Commonly they are few or none: their stored size lets the
+    planner broadcast them, and the other pages are read without a shuffle.
+    """
+    repeated = pages.groupBy("id", "page").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("id", "page")
+    repeated = staged(repeated, stage, run)
+    once = pages.join(repeated, ["id", "page"], "left_anti")
+    again = newest_pages(pages.join(repeated, ["id", "page"], "left_semi"))
+    return once.select(*LISTING_PAGES.names).unionByName(again)
+
+
 def pages_at(pages: DataFrame, wanted: list[tuple[int, int]]) -> DataFrame:
     """The listed (id, page) pairs, as literals that reach the parquet scan."""
     match = F.lit(False)
     for category_id, page in wanted:
         match = match | ((F.col("id") == category_id) & (F.col("page") == page))
-    return latest_pages(pages.where(match), ["batch"])
+    return newest_pages(pages.where(match))

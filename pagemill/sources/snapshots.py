@@ -48,3 +48,13 @@ def read_latest(
     """The newest complete run, or None when there is none."""
     run = latest_run(spark, table)
     return None if run is None else read_run(spark, table, run, schema, file_format)
+
+
+def staged(rows: DataFrame, table: str, run: str) -> DataFrame:
+    """The rows, written as a table and read back.
+
+    For an intermediate result that is used more than once, or whose size the
+    planner should know.
+    """
+    write_run(rows, table, run)
+    return read_run(rows.sparkSession, table, run, rows.schema)

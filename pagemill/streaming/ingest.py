@@ -7,18 +7,15 @@ loads; it keeps the last row per key, which no streaming deduplication does.
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.operators.extract import extract_chunk_rows
-from pagemill.plans.harvest import Workspace, consolidate_chunks, log_load
-from pagemill.sources import chunks, landing
+from pagemill.plans.harvest import Workspace, consolidate_chunks, store_pages
+from pagemill.sources import landing
 
 
 def ingest_pages(spark: SparkSession, pages_path: str, space: Workspace, files_per_batch: int = 10_000) -> None:
     """Store all pages that landed since the last call, then stop."""
 
     def store(pages: DataFrame, batch_id: int) -> None:
-        load = f"stream-{batch_id:012d}"
-        chunks.write_chunks(extract_chunk_rows(pages), space.chunks, load)
-        log_load(pages.sparkSession, space, load)
+        store_pages(pages, space, f"stream-{batch_id:012d}")
 
     query = (
         landing.stream_pages(spark, pages_path, files_per_batch)
