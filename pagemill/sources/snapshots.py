@@ -32,14 +32,23 @@ def latest_run(spark: SparkSession, table: str) -> str | None:
     return runs[-1] if runs else None
 
 
+# Quotes are doubled, and a field may hold line breaks.  Empty fields are NULL and
+# quoted empty fields are empty texts; reading tells them apart only when the
+# NULL text is one that no field can be.
+_CSV_WRITE = {"header": True, "escape": '"'}
+_CSV_READ = {"header": True, "escape": '"', "multiLine": True, "nullValue": "\uffff"}
+
+
 def write_run(rows: DataFrame, table: str, run: str, file_format: str = "parquet") -> None:
-    rows.write.format(file_format).option("header", True).mode("overwrite").save(run_path(table, run))
+    options = _CSV_WRITE if file_format == "csv" else {}
+    rows.write.format(file_format).options(**options).mode("overwrite").save(run_path(table, run))
 
 
 def read_run(
     spark: SparkSession, table: str, run: str, schema: T.StructType, file_format: str = "parquet"
 ) -> DataFrame:
-    return spark.read.format(file_format).option("header", True).schema(schema).load(run_path(table, run))
+    options = _CSV_READ if file_format == "csv" else {}
+    return spark.read.format(file_format).options(**options).schema(schema).load(run_path(table, run))
 
 
 def read_latest(
