@@ -202,7 +202,7 @@ def progress_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resume.last_progress(fx.progress(spark, sf_dir), ["ts", "seq"])
+    return resume.last_progress(fx.progress(spark, sf_dir), ["seq"])
 
 
 def resume_plan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,9 +25,16 @@ def _open(tag: str) -> str:
     return rf"<{tag}(?=[\s>/]){_ATTRS}>"
 
 
-def _open_with(tag: str, attribute: str, value: str) -> str:
-    """Opening tag whose attribute contains a value."""
-    return rf"""<{tag}(?=[^>]*\s{attribute}\s*=\s*(?:"[^">]*{value}|'[^'>]*{value})){_ATTRS}>"""
+def _before(attribute: str) -> str:
+    """The attributes in front of the named one."""
+    value = r"""(?:\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?"""
+    return rf"""(?:\s+(?!{attribute}[\s=/>])[^\s=/>"']++{value})*+"""
+
+
+def _open_with(tag: str, attribute: str, text: str) -> str:
+    """Opening tag whose attribute contains a text."""
+    contains = rf"""\s+{attribute}\s*=\s*(?:"[^"]*(?-i:{text})|'[^']*(?-i:{text}))"""
+    return rf"<{tag}(?={_before(attribute)}{contains}){_ATTRS}>"
 
 
 def _content(tag: str) -> str:
@@ -45,9 +52,8 @@ _CELL = _element("td")
 _ANCHOR = rf"(?i){_open('a')}"
 _ANCHOR_BODY = _element("a")
 # The first anchor with, when it has one, the value of its target attribute.
-_BEFORE_HREF = r"""(?i)<a(?=[\s>/])(?:\s+(?!href[\s=/>])[^\s=/>"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*+"""
-_HREF = _BEFORE_HREF + r"""(?:\s+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
-_HREF_NAME = _BEFORE_HREF + r"(\s+href[\s=/>])?"
+_HREF = rf"""(?i)<a(?=[\s>/]){_before('href')}(?:\s+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
+_HREF_NAME = rf"(?i)<a(?=[\s>/]){_before('href')}(\s+href[\s=/>])?"
 _PAGER = _element("ul", _open_with("ul", "class", "pagination"))
 _PAGER_ITEM = _element("li")
 _PAGER_ACTIVE = _element("li", _open_with("li", "class", "active"))

@@ -34,26 +34,25 @@ def volume_estimate(page_counts: DataFrame) -> DataFrame:
 
 
 def first_page_stats(pages: DataFrame) -> DataFrame:
-    """Per category: page size, announced last page and rows of the first page."""
-    first = with_items_page(with_pagination(visible(pages.where(F.col("page") == 1))))
-    return first.select(
-        "id", "items_page", F.col("last").alias("last_page"), H.row_count(F.col("markup")).alias("first_rows")
-    )
+    """Page size, announced last page and rows of the first page; one row per category."""
+    shown = with_items_page(with_pagination(visible(pages.where(F.col("page") == 1))))
+    first = F.struct("items_page", F.col("last").alias("last_page"), H.row_count(F.col("markup")).alias("first_rows"))
+    return shown.select("id", first.alias("first")).groupBy("id").agg(F.max("first").alias("first")).select("id", "first.*")
 
 
 def crawl_metadata(domain: DataFrame, pages: DataFrame, first: DataFrame | None = None) -> DataFrame:
     """Metadata of every category of the domain; what was not seen is zero.
 
-    Only the first and the last page of each category are parsed.  The first
-    pages are at most one per category, so joining them by broadcast is
-    bounded by the domain.
+    Only the first and the last page of each category are parsed.  ``first``
+    has one row per category and is cut to the domain, which bounds what is
+    broadcast.
     """
     if first is None:
         first = first_page_stats(pages)
     first = F.broadcast(first.join(F.broadcast(domain), "id", "left_semi"))
     wanted = first.select("id", F.col("last_page").alias("page"))
     last_pages = visible(pages.join(wanted, ["id", "page"]))
-    last = last_pages.select("id", H.row_count(F.col("markup")).alias("last_rows"))
+    last = last_pages.select("id", H.row_count(F.col("markup")).alias("n")).groupBy("id").agg(F.max("n").alias("last_rows"))
     found = first.join(last, "id").select(
         "id",
         "items_page",

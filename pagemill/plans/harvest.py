@@ -121,24 +121,36 @@ def consolidate_chunks(spark: SparkSession, space: Workspace, force: bool = Fals
 
     Without chunks the catalog is left as it is.  An error fails the job before
     any chunk is dropped, and merging the same chunks again changes nothing.
-
-    The replaced page versions and the new rows are written first: each is used
-    more than once, and their stored size lets the planner decide whether the
-    large side of the joins after it has to be shuffled.
     """
     stored = chunks.scan_chunks(spark, space.chunks)
     if stored is None or stored.isEmpty():
         return None
     run_name = snapshots.new_run()
-    stale = snapshots.staged(stale_versions(stored, chunks.VERSION), f"{space.staged}/stale", run_name)
-    current = without_versions(stored, stale, chunks.VERSION)
-    new = snapshots.staged(chunks.catalog_rows(chunks.saved_rows(current)), f"{space.staged}/new", run_name)
-    CatalogStore(spark, space.root).merge(new, run_name, "overwrite" if force else "merge", csv)
+    current = current_chunks(stored, f"{space.staged}/stale", run_name)
+    new = chunks.catalog_rows(chunks.saved_rows(current))
+    mode = "overwrite" if force else "merge"
+    CatalogStore(spark, space.root).merge(new, run_name, mode, csv, f"{space.staged}/new")
     chunks.delete_chunks(spark, space.chunks)
     storage.delete(spark, space.staged)
     return run_name
 
 
+def current_chunks(stored: DataFrame, stage: str, run_name: str) -> DataFrame:
+    """Stored rows without the page versions that a newer one replaced.
+
+    The replaced versions are found from the keys and written first.  Usually
+    there are none and the rows are used as they are; few are broadcast, many
+    are joined by a shuffle, where a key is one version of one page.
+    """
+    stale = snapshots.staged(stale_versions(stored, chunks.VERSION), stage, run_name)
+    number = stale.count()
+    if number == 0:
+        return stored
+    if number <= landing.BROADCAST_PAGES:
+        stale = F.broadcast(stale)
+    return without_versions(stored, stale, chunks.VERSION)
+
+
 def check(spark: SparkSession, space: Workspace) -> DataFrame:
     """Expected against found rows over the whole catalog, as one row."""
     return reconcile.completeness_global(*_catalog_and_metadata(spark, space))

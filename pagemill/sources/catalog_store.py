@@ -35,12 +35,18 @@ class CatalogStore:
             written = snapshots.read_run(self.spark, self.parquet, run, CATALOG)
             snapshots.write_run(written.select(*CATALOG_COLUMNS), self.csv, run, "csv")
 
-    def merge(self, new: DataFrame, run: str, mode: str = "merge", csv: bool = True) -> None:
-        """Consolidate new rows into the next run; an error fails the job."""
+    def merge(self, new: DataFrame, run: str, mode: str = "merge", csv: bool = True, stage: str | None = None) -> None:
+        """Consolidate new rows into the next run; an error fails the job.
+
+        A merge uses the new rows more than once, so they are written to
+        ``stage`` first.  Their stored size then also tells the planner whether
+        the old catalog has to be shuffled to be joined with them.
+        """
         old = self.read()
         merging = old is not None and mode == "merge"
         old_is_unique = self.is_unique()
         if merging:
+            new = new if stage is None else snapshots.staged(new, stage, run)
             members = upsert_duplicates(old, new) if old_is_unique else duplicate_members(scan_union(old, new))
             snapshots.write_run(members, self.duplicates, run)
         self.write(consolidate(old, new, mode, old_is_unique), run, merging, csv)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pagemill.schemas import LISTING_PAGES
 from pagemill.sources.snapshots import staged
 
+# Page keys, two integers each, that may be broadcast.
+BROADCAST_PAGES = 1_000_000
+
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LISTING_PAGES).parquet(path)
@@ -30,11 +33,18 @@ def current_pages(pages: DataFrame, stage: str, run: str) -> DataFrame:
     """``newest_pages`` that moves only the pages which landed more than once.
 
     Which ones these are is found from the keys alone and written under
-    ``stage``.  Commonly they are few or none: their stored size lets the
-    planner broadcast them, and the other pages are read without a shuffle.
+    ``stage``.  Commonly they are none or few: then they are broadcast and the
+    other pages are read without a shuffle.  Beyond ``BROADCAST_PAGES`` all
+    pages go through the aggregation.
     """
-    repeated = pages.groupBy("id", "page").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("id", "page")
-    repeated = staged(repeated, stage, run)
+    keys = pages.groupBy("id", "page").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("id", "page")
+    repeated = staged(keys, stage, run)
+    number = repeated.count()
+    if number == 0:
+        return pages
+    if number > BROADCAST_PAGES:
+        return newest_pages(pages)
+    repeated = F.broadcast(repeated)
     once = pages.join(repeated, ["id", "page"], "left_anti")
     again = newest_pages(pages.join(repeated, ["id", "page"], "left_semi"))
     return once.select(*LISTING_PAGES.names).unionByName(again)

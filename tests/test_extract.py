@@ -137,3 +137,17 @@ def test_round_trip(spark, made):
         return value.strip() or None
 
     assert found == [(shown(d), li, shown(c), shown(p), shown(t)) for d, li, c, p, t in made]
+
+
+def test_brackets_in_attributes_before_the_class(spark):
+    shown = P.pager(3, 9).replace("<ul ", '<ul ng-if="pages.length > 1" title=\'class="x"\' ').replace("<li ", '<li ng-if="a > b" ')
+    df = spark.createDataFrame([(1, 1, shown + P.sizes(25).replace("<div ", '<div ng-show="x > 1" '))], SCHEMA)
+    (row,) = extract.page_states(df).collect()
+    assert (row.current, row.next, row["last"], row.items_page) == (3, 4, 9, 25)
+
+
+def test_copies_of_a_page_do_not_change_the_metadata(spark):
+    landed = P.category(1, [2, 1]) * 4
+    pages = spark.createDataFrame([(r[0], r[1], r[3]) for r in landed], SCHEMA)
+    found = reconcile.crawl_metadata(reconcile.category_domain(spark), pages).where("id = 1").collect()
+    assert [tuple(r) for r in found] == [(1, 2, 2, 3)]

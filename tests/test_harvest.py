@@ -224,3 +224,28 @@ def test_command_line(spark, space, landing_dir, capsys, monkeypatch):
     cli.main([landing_dir, space.root])
     cli.main([landing_dir, space.root, "--check"])
     assert "complete" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_repeated_pages_broadcast_or_aggregated(spark, tmp_path, monkeypatch, limit):
+    from pagemill.sources import landing
+
+    monkeypatch.setattr(landing, "BROADCAST_PAGES", limit)
+    landed = P.category(1, [2, 2, 1]) + P.category(1, [1, 1], batch=3, tag="v2") * 9
+    pages = spark.createDataFrame(landed, LISTING_PAGES).repartition(4)
+    current = landing.current_pages(pages, str(tmp_path / "stage"), "1").collect()
+    assert sorted((r.page, r.batch) for r in current) == [(1, 3), (2, 3), (3, 0)]
+    assert all(("v2" in r.html) == (r.batch == 3) for r in current)
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_chunks_of_several_loads(spark, tmp_path, monkeypatch, limit):
+    from pagemill.sources import landing
+
+    monkeypatch.setattr(landing, "BROADCAST_PAGES", limit)
+    space = harvest.Workspace(str(tmp_path / "space"))
+    for load, pages in (("1", P.category(1, [2, 2])), ("2", P.category(1, [1, 0], batch=1, tag="v2"))):
+        harvest.store_pages(spark.createDataFrame(pages, LISTING_PAGES), space, load)
+    harvest.consolidate_chunks(spark, space)
+    # The second page is empty in its newest form, so the category ends before it.
+    assert drugs(spark, space) == names(1, [1], "v2")
