@@ -28,6 +28,20 @@ _RARE_ENTITY = "&(?!(?:lt|gt|quot|nbsp|amp);)[#A-Za-z]"
 # A noncharacter: it marks the edges of an entity while a text is split.
 _MARK = "\uffff"
 
+_NAMES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+# One literal text, so that the map is folded to a constant while planning.
+_NAMED = "str_to_map('{}', '\\u0001', '\\u0002')".format(
+    "\\u0001".join(f"{name}\\u0002\\u{ord(char):04x}" for name, char in _NAMES.items())
+)
+_CODE = "if(p rlike '^&#[xX]', conv(substring(p, 4, length(p) - 4), 16, 10), substring(p, 3, length(p) - 3))"
+# The pieces of a text are entities or the text between them.
+_DECODE_PIECE = f"""p -> case
+    when not p rlike '^{_ENTITY}$' then p
+    when p not like '&#%' then coalesce(try_element_at({_NAMED}, substring(p, 2, length(p) - 2)), p)
+    when cast({_CODE} as int) between 1 and 55295 or cast({_CODE} as int) between 57344 and 1114111
+        then decode(unhex(lpad(hex(cast({_CODE} as int)), 8, '0')), 'UTF-32')
+    else '\\ufffd' end"""
+
 
 def strip(text: Column) -> Column:
     """Remove whitespace, no-break spaces included, from both ends."""
@@ -53,34 +67,10 @@ def decode_entities(text: Column) -> Column:
     for entity, char in SERIALISED_ENTITIES:
         plain = F.replace(plain, F.lit(entity), F.lit(char))
     marked = F.regexp_replace(text, f"({_ENTITY})", f"{_MARK}$1{_MARK}")
-    full = F.array_join(F.transform(F.split(marked, _MARK), _decode_piece), "")
+    full = F.array_join(F.call_function("transform", F.split(marked, _MARK), F.expr(_DECODE_PIECE)), "")
     return F.when(~F.contains(text, F.lit("&")), text).when(~F.rlike(text, F.lit(_RARE_ENTITY)), plain).otherwise(full)
 
 
-def _decode_piece(piece: Column) -> Column:
-    body = F.regexp_extract(piece, "^&(.*);$", 1)
-    code = (
-        F.when(body.startswith("#x") | body.startswith("#X"), F.conv(F.substring(body, 3, 8), 16, 10))
-        .when(body.startswith("#"), F.substring(body, 2, 8))
-        .cast("int")
-    )
-    named = F.try_element_at(_named_entities(), body)
-    return F.when(~F.rlike(piece, F.lit(f"^{_ENTITY}$")), piece).otherwise(F.coalesce(_char(code), named, piece))
-
-
-def _char(code: Column) -> Column:
-    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
-    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    return F.when(code.isNull(), None).when(valid, char).otherwise(F.lit("\ufffd"))
-
-
-def _named_entities() -> Column:
-    # One literal text, so that the map is folded to a constant while planning.
-    names = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
-    pairs = "\x01".join(f"{name}\x02{char}" for name, char in names.items())
-    return F.str_to_map(F.lit(pairs), F.lit("\x01"), F.lit("\x02"))
-
-
 def is_number(text: Column) -> Column:
     """True for a text of ASCII digits only; NULL is not a number."""
     return F.coalesce(F.rlike(text, F.lit("^[0-9]+$")), F.lit(False))
