@@ -98,10 +98,10 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _escape(text: Column) -> Column:
+def _escaped(column: str) -> str:
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        text = F.replace(text, F.lit(char), F.lit(entity))
-    return text
+        column = f"replace({column}, '{char}', '{entity}')"
+    return column
 
 
 _HEAD = (
@@ -117,42 +117,20 @@ _TAIL = (
 )
 
 
-def _pager(page: Column, last: Column) -> Column:
-    page, last = page.cast("string"), last.cast("string")
-    following = F.least(F.col("page") + 1, F.col("last_page")).cast("string")
-    return F.concat(
-        F.lit('<ul class="pagination ng-table-pagination"><li class="active"><a href="#"><span>'),
-        page,
-        F.lit('</span></a></li><li><a href="#"> <span>'),
-        following,
-        F.lit('</span> </a></li><li><a ng-switch-when="last" href="#"> '),
-        last,
-        F.lit("</a></li></ul></body></html>"),
-    )
+_LINE = f"""concat('<tr ng-repeat="row in data"><td><input type="checkbox"></td><td><a class="x" href="',
+    {_escaped("link")}, '">\\n <b>', {_escaped("drug")}, '</b> </a></td><td>',
+    {_escaped("company")}, '</td><td>', coalesce({_escaped("protocol")}, '&nbsp;'), '</td><td> ', pub_date, '\\t</td></tr>')"""
+
+_PAGER = """concat('<ul class="pagination ng-table-pagination"><li class="active"><a href="#"><span>', page,
+    '</span></a></li><li><a href="#"> <span>', least(page + 1, last_page),
+    '</span> </a></li><li><a ng-switch-when="last" href="#"> ', last_page, '</a></li></ul></body></html>')"""
 
 
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rendered page per (id, page); a page has at most ``ITEMS_PAGE`` rows."""
     rows = catalog(spark, sf_dir)
     last = F.broadcast(rows.groupBy("id").agg(F.max("page").alias("last_page")))  # 11 rows
-    cells = [
-        F.concat(F.lit('<a class="x" href="'), _escape(F.col("link")), F.lit('">\n <b>'), _escape(F.col("drug")), F.lit("</b> </a>")),
-        _escape(F.col("company")),
-        F.coalesce(_escape(F.col("protocol")), F.lit("&nbsp;")),
-        F.concat(F.lit(" "), F.col("pub_date"), F.lit("\t")),
-    ]
-    line = F.concat(
-        F.lit('<tr ng-repeat="row in data"><td><input type="checkbox"></td>'),
-        *[F.concat(F.lit("<td>"), cell, F.lit("</td>")) for cell in cells],
-        F.lit("</tr>"),
-    )
-    tables = rows.select("id", "page", "batch", "pos", line.alias("line")).groupBy("id", "page", "batch").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines")
-    )
-    body = F.array_join(F.transform("lines", lambda r: r["line"]), "\n")
-    return tables.join(last, "id").select(
-        "id",
-        "page",
-        "batch",
-        F.concat(F.lit(_HEAD), body, F.lit(_TAIL), _pager(F.col("page"), F.col("last_page"))).alias("html"),
-    )
+    lines = rows.selectExpr("id", "page", "batch", "pos", f"{_LINE} as line")
+    tables = lines.groupBy("id", "page", "batch").agg(F.expr("array_sort(collect_list(struct(pos, line)))").alias("lines"))
+    html = f"concat('{_HEAD}', array_join(lines.line, '\\n'), '{_TAIL}', {_PAGER}) as html"
+    return tables.join(last, "id").selectExpr("id", "page", "batch", html)

@@ -151,9 +151,12 @@ def current_chunks(stored: DataFrame, stage: str, run_name: str) -> DataFrame:
     return without_versions(stored, stale, chunks.VERSION)
 
 
-def check(spark: SparkSession, space: Workspace) -> DataFrame:
-    """Expected against found rows over the whole catalog, as one row."""
-    return reconcile.completeness_global(*_catalog_and_metadata(spark, space))
+def check(spark: SparkSession, space: Workspace, category_id: int | None = None) -> DataFrame:
+    """Expected against found rows, as one row, of one category or of all."""
+    catalog, metadata = _catalog_and_metadata(spark, space)
+    if category_id is not None:
+        catalog = catalog.where(F.col("id") == category_id)
+    return reconcile.completeness_global(catalog, reconcile.crawled(metadata, category_id))
 
 
 def check_by_category(spark: SparkSession, space: Workspace) -> DataFrame:

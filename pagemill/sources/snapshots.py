@@ -22,14 +22,20 @@ def run_path(table: str, run: str) -> str:
     return f"{table}/run={run}"
 
 
+def _runs(spark: SparkSession, table: str) -> list[str]:
+    return [n.removeprefix("run=") for n in storage.children(spark, table) if n.startswith("run=")]
+
+
+def is_complete(spark: SparkSession, table: str, run: str) -> bool:
+    return storage.exists(spark, f"{run_path(table, run)}/_SUCCESS")
+
+
 def complete_runs(spark: SparkSession, table: str) -> list[str]:
-    names = [n.removeprefix("run=") for n in storage.children(spark, table) if n.startswith("run=")]
-    return [n for n in names if storage.exists(spark, f"{run_path(table, n)}/_SUCCESS")]
+    return [n for n in _runs(spark, table) if is_complete(spark, table, n)]
 
 
 def latest_run(spark: SparkSession, table: str) -> str | None:
-    runs = complete_runs(spark, table)
-    return runs[-1] if runs else None
+    return next((n for n in reversed(_runs(spark, table)) if is_complete(spark, table, n)), None)
 
 
 # Quotes are doubled, and a field may hold line breaks.  Empty fields are NULL and

@@ -249,3 +249,17 @@ def test_chunks_of_several_loads(spark, tmp_path, monkeypatch, limit):
     harvest.consolidate_chunks(spark, space)
     # The second page is empty in its newest form, so the category ends before it.
     assert drugs(spark, space) == names(1, [1], "v2")
+
+
+def test_check_of_one_category(spark, space, landing_dir):
+    land(spark, landing_dir, P.category(1, [2, 1]) + P.category(2, [2, 0]))
+    harvest.run(spark, landing_dir, space.root)
+
+    def status(category_id):
+        (row,) = harvest.check(spark, space, category_id).collect()
+        return row.expected, row.found, row.status
+
+    assert status(1) == (3, 3, "complete")
+    assert status(2) == (2, 2, "complete")
+    assert status(99) == (None, 0, "no_local")
+    assert status(None) == (5, 5, "complete")
