@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
+from pagemill.functions import html as H
 from pagemill.functions import text as X
 from pagemill.operators import catalog as C
 from pagemill.operators import chat, extract, reconcile, resume
@@ -59,10 +60,8 @@ def run_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pagemill.functions.html import next_page as following
-
-    rows = fx.progress(spark, sf_dir)
-    return rows.select("seq", "current_page", "last_page", following(F.col("current_page"), F.col("last_page")).alias("next_page"))
+    following = H.next_page(F.col("current_page"), F.col("last_page"))
+    return fx.progress(spark, sf_dir).select("seq", "current_page", "last_page", following.alias("next_page"))
 
 
 def category_url(spark: SparkSession, sf_dir: str) -> DataFrame:

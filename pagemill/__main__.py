@@ -1,4 +1,4 @@
-"""Command line: ``spark-submit -m``-style entry to a harvest."""
+"""Command line of a harvest."""
 
 import argparse
 

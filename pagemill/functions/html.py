@@ -15,7 +15,8 @@ MIN_CELLS = 5
 # Attributes up to the closing bracket; quoted values may hold a bracket.
 _ATTRS = r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+"""
 _BLANKED = "<!>"
-_HIDDEN = r"(?is)<(?:!--.*?-->|(script|style)(?=[\s>]).*?</\1\s*>)"
+_COMMENT = r"!--[^-]*+(?:-(?!->)[^-]*+)*+-->"
+_HIDDEN = rf"(?i)<(?:{_COMMENT}|(script|style)(?=[\s>])[^<]*+(?:<(?!/\1[\s>])[^<]*+)*+</\1\s*>)"
 _TAG = rf"<(?:!|/?[A-Za-z]{_ATTRS})>"
 # A noncharacter: it stands for a tag while a text is split.
 _MARK = "\uffff"

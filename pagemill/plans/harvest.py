@@ -126,7 +126,9 @@ def consolidate_chunks(spark: SparkSession, space: Workspace, force: bool = Fals
     if stored is None or stored.isEmpty():
         return None
     run_name = snapshots.new_run()
-    current = current_chunks(stored, f"{space.staged}/stale", run_name)
+    # A single load holds each page once.
+    several = len(chunks.loads(spark, space.chunks)) > 1
+    current = current_chunks(stored, f"{space.staged}/stale", run_name) if several else stored
     new = chunks.catalog_rows(chunks.saved_rows(current))
     mode = "overwrite" if force else "merge"
     CatalogStore(spark, space.root).merge(new, run_name, mode, csv, f"{space.staged}/new")

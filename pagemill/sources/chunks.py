@@ -19,7 +19,10 @@ _STORED = T.StructType([T.StructField("load", T.StringType()), *CHUNKS.fields])
 
 
 def write_chunks(rows: DataFrame, root: str, load: str) -> None:
-    """Write one load of chunk rows, in place of an earlier one of that name."""
+    """Write one load of chunk rows, in place of an earlier one of that name.
+
+    The rows must hold each page in one version only.
+    """
     (
         rows.select(*CHUNKS.names)
         .hint("rebalance", "id")
