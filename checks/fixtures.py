@@ -71,18 +71,15 @@ def found_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata as crawled: 7 is absent, 1 too low, 2 too high, 12 not saved."""
-    sizes = page_counts(spark, sf_dir).groupBy("id").agg(
-        F.max("page").alias("last_page"), F.sum("n").alias("rows")
-    )
+    """Metadata as crawled: 1 is too low, 2 too high, 7 was filed under 12."""
+    sizes = page_counts(spark, sf_dir).groupBy("id").agg(F.max("page").alias("last_page"), F.sum("n").alias("rows"))
     drift = F.when(F.col("id") == 1, -10).when(F.col("id") == 2, 10).otherwise(0)
-    seen = sizes.where("id <> 7").select(
-        "id", F.lit(ITEMS_PAGE).alias("items_page"), "last_page", (F.col("rows") + drift).cast("bigint").alias("size")
-    )
-    unsaved = sizes.where("id = 11").select(
-        F.lit(12).alias("id"), F.lit(ITEMS_PAGE).alias("items_page"), F.lit(4).alias("last_page"), F.lit(100).cast("bigint").alias("size")
+    return sizes.select(
+        F.when(F.col("id") == 7, 12).otherwise(F.col("id")).alias("id"),
+        F.lit(ITEMS_PAGE).alias("items_page"),
+        "last_page",
+        (F.col("rows") + drift).cast("bigint").alias("size"),
     )
-    return seen.unionByName(unsaved)
 
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:

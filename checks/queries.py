@@ -9,7 +9,7 @@ from pagemill.functions import text as X
 from pagemill.operators import catalog as C
 from pagemill.operators import chat, extract, reconcile, resume
 from pagemill.plans import harvest
-from pagemill.schemas import CATALOG, CATALOG_COLUMNS, METADATA
+from pagemill.schemas import CATALOG, CATALOG_COLUMNS, LISTING_PAGES, METADATA
 from pagemill.sources import chunks, landing, snapshots, storage
 from pagemill.sources.catalog_store import CatalogStore
 from pagemill.streaming import ingest
@@ -249,13 +249,17 @@ def harvest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Old pages arrive by stream and make the catalog, new ones are upserted."""
+    """Old pages arrive by stream and make the catalog, new ones are upserted.
+
+    Each landing is taken in about two micro-batches, however large it is.
+    """
     root = storage.shared_dir(spark)
     space = harvest.Workspace(f"{root}/space")
     pages = snapshots.staged(fx.listing_pages(spark, sf_dir), f"{root}/pages", "1")
     for batch in (0, 1):
-        pages.where(F.col("batch") == batch).repartition(4).write.mode("append").parquet(f"{root}/landing")
-        ingest.stream_upsert(spark, f"{root}/landing", space, files_per_batch=2)
+        pages.where(F.col("batch") == batch).write.mode("append").parquet(f"{root}/landing")
+        files = len(spark.read.schema(LISTING_PAGES).parquet(f"{root}/landing").inputFiles())
+        ingest.stream_upsert(spark, f"{root}/landing", space, max(1, files // (2 * (batch + 1))))
     return CatalogStore(spark, space.root).read()
 
 
