@@ -8,7 +8,7 @@ styles hold no markup; they are blanked first but still separate text.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import decode_entities, normalize_space, strip
+from pagemill.functions.text import decode_entities, strip
 
 MIN_CELLS = 5
 
@@ -133,13 +133,10 @@ def last_page_markup(pager: Column) -> Column:
     return F.regexp_extract(pager, _PAGER_LAST, 1)
 
 
-def linked_pages(pager: Column) -> Column:
-    """Texts of the pager items that hold a link."""
+def linked_items(pager: Column) -> Column:
+    """The pager items that hold a link."""
     items = F.regexp_extract_all(pager, F.lit(_PAGER_ITEM), F.lit(1))
-    return F.transform(
-        F.filter(items, lambda item: F.rlike(item, F.lit(_ANCHOR))),
-        lambda item: normalize_space(text_of(item)),
-    )
+    return F.filter(items, lambda item: F.rlike(item, F.lit(_ANCHOR)))
 
 
 def size_markup(markup: Column) -> Column:

@@ -17,6 +17,9 @@ def assemble_chat(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     part = F.floor(F.col("turn") / part_turns).cast("int")
     message = F.struct("turn", "role", F.col("text").alias("content"))
     ordered = F.array_sort(F.collect_list(message))
+    untimed = F.transform(
+        "messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))
+    )
     return (
         turns.groupBy("conv_id", part.alias("part"))
         .agg(ordered.alias("messages"))
@@ -24,6 +27,6 @@ def assemble_chat(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
             "conv_id",
             "part",
             F.size("messages").alias("n_messages"),
-            F.to_json(F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))).alias("messages"),
+            F.to_json(untimed).alias("messages"),
         )
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
-from pagemill.functions.text import blank_to_null, is_number, to_number
+from pagemill.functions.text import blank_to_null, is_number, normalize_space, to_number
 
 
 def _listing_columns(rows: DataFrame) -> DataFrame:
@@ -54,15 +54,17 @@ def with_pagination(pages: DataFrame) -> DataFrame:
     """
     kept = pages.columns
     pager = F.col("pager")
+    texts = F.concat(F.array(H.current_page_markup(pager), H.last_page_markup(pager)), H.linked_items(pager))
     steps = (
         pages.withColumn("pager", H.pager(F.col("markup")))
+        .select(*kept, F.transform(texts, H.text_of).alias("texts"))
         .select(
             *kept,
-            F.transform(F.array(H.current_page_markup(pager), H.last_page_markup(pager)), H.text_of).alias("ends"),
-            H.linked_pages(pager).alias("linked"),
+            to_number(F.col("texts")[0]).alias("shown"),
+            to_number(F.col("texts")[1]).alias("end"),
+            F.transform(F.slice("texts", 3, F.size("texts")), normalize_space).alias("linked"),
         )
-        .select(*kept, "linked", to_number(F.col("ends")[0]).alias("shown"), to_number(F.col("ends")[1]).alias("end"))
-        .select(*kept, "linked", "shown", "end", H.next_page(F.col("shown"), F.col("end")).alias("following"))
+        .withColumn("following", H.next_page(F.col("shown"), F.col("end")))
     )
     found = (
         F.col("shown").isNotNull()

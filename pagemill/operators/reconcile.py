@@ -37,7 +37,8 @@ def first_page_stats(pages: DataFrame) -> DataFrame:
     """Page size, announced last page and rows of the first page; one row per category."""
     shown = with_items_page(with_pagination(visible(pages.where(F.col("page") == 1))))
     first = F.struct("items_page", F.col("last").alias("last_page"), H.row_count(F.col("markup")).alias("first_rows"))
-    return shown.select("id", first.alias("first")).groupBy("id").agg(F.max("first").alias("first")).select("id", "first.*")
+    by_category = shown.select("id", first.alias("first")).groupBy("id")
+    return by_category.agg(F.max("first").alias("first")).select("id", "first.*")
 
 
 def crawl_metadata(domain: DataFrame, pages: DataFrame, first: DataFrame | None = None) -> DataFrame:
@@ -52,7 +53,8 @@ def crawl_metadata(domain: DataFrame, pages: DataFrame, first: DataFrame | None
     first = F.broadcast(first.join(F.broadcast(domain), "id", "left_semi"))
     wanted = first.select("id", F.col("last_page").alias("page"))
     last_pages = visible(pages.join(wanted, ["id", "page"]))
-    last = last_pages.select("id", H.row_count(F.col("markup")).alias("n")).groupBy("id").agg(F.max("n").alias("last_rows"))
+    last_counts = last_pages.select("id", H.row_count(F.col("markup")).alias("n"))
+    last = last_counts.groupBy("id").agg(F.max("n").alias("last_rows"))
     found = first.join(last, "id").select(
         "id",
         "items_page",

@@ -85,7 +85,8 @@ def missing_pages(metadata: DataFrame, saved: DataFrame, block: int = PAGE_BLOCK
     )
     first = F.col("block") * block + 1
     wanted = F.sequence(first, F.least(first + block - 1, F.col("last_page")))
-    gaps = F.array_except(F.transform(wanted, lambda p: p.cast("int")), F.coalesce("pages", F.array().cast("array<int>")))
+    none = F.array().cast("array<int>")
+    gaps = F.array_except(F.transform(wanted, lambda p: p.cast("int")), F.coalesce("pages", none))
     return blocks.join(done, ["id", "block"], "left").select("id", F.explode(gaps).alias("page"))
 
 
@@ -106,7 +107,9 @@ def previous_in_log(log: DataFrame, key: str, seq: str, value: str, block: int =
     return inside.join(carried, [key, "_block"]).select(*log.columns, previous.alias("previous"))
 
 
-def stalled_pages(log: DataFrame, key: str = "category_id", seq: str = "seq", page: str = "current_page", block: int = LOG_BLOCK) -> DataFrame:
+def stalled_pages(
+    log: DataFrame, key: str = "category_id", seq: str = "seq", page: str = "current_page", block: int = LOG_BLOCK
+) -> DataFrame:
     """Log entries whose page is the same as in the entry before."""
     return previous_in_log(log, key, seq, page, block).where(F.col("previous") == F.col(page)).drop("previous")
 

@@ -94,7 +94,9 @@ def scrape(spark: SparkSession, pages_path: str, space: Workspace, force: bool =
     return consolidate_chunks(spark, space, force, csv)
 
 
-def save_pages(spark: SparkSession, pages_path: str, space: Workspace, starts: list[tuple[int, int]], load: str) -> None:
+def save_pages(
+    spark: SparkSession, pages_path: str, space: Workspace, starts: list[tuple[int, int]], load: str
+) -> None:
     """Extract and store the landed pages from each category's start on."""
     wanted = F.lit(False)
     for category_id, start in starts:

@@ -10,8 +10,8 @@ from pagemill.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(8, **{"spark.sql.shuffle.partitions": "4"})
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = local_session(8, **{"spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": shared})
     session.sparkContext.setLogLevel("ERROR")
-    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()

@@ -263,3 +263,10 @@ def test_check_of_one_category(spark, space, landing_dir):
     assert status(2) == (2, 2, "complete")
     assert status(99) == (None, 0, "no_local")
     assert status(None) == (5, 5, "complete")
+
+
+def test_scratch_tables_go_to_the_shared_folder(spark):
+    from pagemill.sources import storage
+
+    first, second = storage.shared_dir(spark), storage.shared_dir(spark)
+    assert first.startswith(spark.conf.get("spark.checkpoint.dir")) and first != second
