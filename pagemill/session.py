@@ -11,8 +11,6 @@ def local_session(cpus: int | str = 8, **extra: str) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cpus) if str(cpus).isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
-        # Parsing is heavy for its bytes: small inputs still go to all threads.
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
