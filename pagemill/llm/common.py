@@ -40,6 +40,17 @@ class Scratch:
             storage.delete(self.spark, self.path(name))
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers of this session import the package from where the driver has it.
+
+    A cluster that installs the package, or gets it by ``--py-files``, does not need this.
+    """
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*known, home]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

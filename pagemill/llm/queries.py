@@ -1,10 +1,17 @@
 """The registered queries of the training-data operators."""
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import neighbour_vote
-from pagemill.llm.common import table
+from pagemill.llm import jaccard_join, neighbour_vote
+from pagemill.llm.common import ship_package, table
+
+
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +23,19 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
-    "op6_quality_classifier": op6_quality_classifier,
+    query.__name__: _shipped(query)
+    for query in (
+        op5_ngram_jaccard_join,
+        op6_quality_classifier,
+    )
 }
