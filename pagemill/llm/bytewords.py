@@ -92,9 +92,16 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
         for j in range(width):
             total += words[j : j + n] * _PLACES[j]
         return mix(total)
-    prefix = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * _table("up", _BASE, len(words)), out=prefix[1:])
-    return mix((prefix[width:] - prefix[:-width]) * _table("down", _BASE_INVERSE, n))
+    at = np.arange(n)
+    return span_hashes(words, at, at + width)
+
+
+def span_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span of words."""
+    n = len(words)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * _table("up", _BASE, n), out=prefix[1:])
+    return mix((prefix[ends] - prefix[starts]) * _table("down", _BASE_INVERSE, n + 1)[starts])
 
 
 def chunks(texts: pa.Array, lower: bool = False, max_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:

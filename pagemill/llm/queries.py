@@ -6,10 +6,24 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import jaccard_join, neighbour_vote
+from pagemill.llm import jaccard_join, neighbour_vote, suffix_dedup
 from pagemill.llm.common import ship_package, table
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = suffix_dedup.spans(documents)
+    words = lambda spans: F.aggregate(spans, F.lit(0), lambda n, s: n + s["end"] - s["start"])
+    none = F.array().cast(found.schema["later"].dataType)
+    return documents.select("doc_id").join(found, "doc_id", "left").select(
+        "doc_id",
+        F.coalesce(words("repeated"), F.lit(0)).alias("n_repeated_words"),
+        F.coalesce(words("later"), F.lit(0)).alias("n_cut_words"),
+        F.coalesce("repeated", none).alias("repeated_spans"),
+        F.coalesce("later", none).alias("cut_spans"),
+    )
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -35,6 +49,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES = {
     query.__name__: _shipped(query)
     for query in (
+        op3_suffix_array_dedup,
         op5_ngram_jaccard_join,
         op6_quality_classifier,
     )
