@@ -1,15 +1,30 @@
 """The registered queries of the training-data operators."""
 
+import os
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import jaccard_join, neighbour_vote, suffix_dedup
+from pagemill.llm import jaccard_join, neighbour_vote, piece_transducer, suffix_dedup
 from pagemill.llm.common import ship_package, table
 
 
+def tokenizer_path(name: str) -> str:
+    """A public vocabulary file; ``TOKENIZER_DIR`` names another folder than that of the installed package."""
+    if folder := os.environ.get("TOKENIZER_DIR"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = piece_transducer.read_vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    return piece_transducer.encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = suffix_dedup.spans(documents)
@@ -49,6 +64,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES = {
     query.__name__: _shipped(query)
     for query in (
+        op2_sentencepiece,
         op3_suffix_array_dedup,
         op5_ngram_jaccard_join,
         op6_quality_classifier,
