@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import jaccard_join, neighbour_vote, piece_transducer, suffix_dedup
+from pagemill.llm import jaccard_join, neighbour_vote, piece_transducer, soft_mixing, suffix_dedup
 from pagemill.llm.common import ship_package, table
 
 
@@ -52,6 +52,25 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Shares of the words of a training mix.
+MIX = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    labelled = documents.select("doc_id", F.col("lang").alias("domain")).join(
+        table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"
+    )
+    mixed, model = soft_mixing.mix(documents, labelled, MIX)
+    return mixed.select(
+        "doc_id",
+        F.col("_n").alias("n_words"),
+        *(F.col("_p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)),
+        F.col("_rate").alias("rate"),
+        F.col("_copies").alias("copies"),
+    )
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,5 +87,6 @@ QUERIES = {
         op3_suffix_array_dedup,
         op5_ngram_jaccard_join,
         op6_quality_classifier,
+        op8_mixing,
     )
 }

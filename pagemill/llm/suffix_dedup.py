@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm import bytewords as bw
-from pagemill.llm.common import Scratch, batches_of
+from pagemill.llm.common import WHITE, Scratch, batches_of
 
 #: What a sorted suffix is: the first or a later place of a repeated stretch, one to be extended,
 #: or the first place of a stretch that is to be extended too.
 FIRST, LATER, EXTEND, FIRST_EXTEND = range(4)
+BLANK = WHITE.decode()
 
 
 @dataclass(frozen=True)
@@ -217,8 +218,11 @@ def _union(lo: np.ndarray, hi: np.ndarray) -> list[dict[str, int]]:
     return [{"start": int(a), "end": int(b)} for a, b in zip(lo[opens], hi[closes], strict=True)]
 
 
-def cut(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """``documents`` without the words of ``found.later``, and what follows each up to the next word."""
+def cut(documents: DataFrame, found: DataFrame, drop_emptied: bool = False) -> DataFrame:
+    """``documents`` without the words of ``found.later``, and what follows each up to the next word.
+
+    ``drop_emptied`` drops the rows that keep no word of those they had.
+    """
     columns = documents.columns
     later = found.where(F.size("later") > 0).select(F.col("doc_id").alias("_cut_id"), F.col("later").alias("_cut"))
     rows = documents.join(later, F.col("doc_id").cast("long") == F.col("_cut_id"), "left").drop("_cut_id")
@@ -230,7 +234,11 @@ def cut(documents: DataFrame, found: DataFrame) -> DataFrame:
             if len(some):
                 kept = dict(zip(some.tolist(), _without(texts.take(pa.array(some)), cuts.take(pa.array(some))), strict=True))
                 texts = pa.array([kept.get(i, x) for i, x in enumerate(texts.to_pylist())], texts.type)
-            yield pa.RecordBatch.from_arrays([texts if c == "text" else batch[c] for c in columns], names=columns)
+            out = pa.RecordBatch.from_arrays([texts if c == "text" else batch[c] for c in columns], names=columns)
+            if len(some) and drop_emptied:
+                stay = np.array([bool(kept.get(i, "x").strip(BLANK)) for i in range(len(out))])
+                out = out.filter(pa.array(stay))
+            yield out
 
     return rows.mapInArrow(run, documents.schema)
 
