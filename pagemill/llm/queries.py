@@ -7,8 +7,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import jaccard_join, neighbour_vote, piece_transducer, soft_mixing, suffix_dedup
-from pagemill.llm.common import ship_package, table
+from pagemill.llm import jaccard_join, neighbour_vote, piece_transducer, soft_mixing, suffix_dedup, token_frames
+from pagemill.llm.common import Scratch, ship_package, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -52,6 +52,14 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(tokenizer_path("byte_bpe_50k.json")) as file:
+        definition = file.read()
+    path = Scratch(spark).path("tokens")
+    token_frames.write(table(spark, sf_dir, "documents"), definition, path)
+    return token_frames.read_digests(spark, path)
+
+
 #: Shares of the words of a training mix.
 MIX = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
 
@@ -87,6 +95,7 @@ QUERIES = {
         op3_suffix_array_dedup,
         op5_ngram_jaccard_join,
         op6_quality_classifier,
+        op7_token_frames,
         op8_mixing,
     )
 }
