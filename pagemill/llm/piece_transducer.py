@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm import bytewords as bw
+from pagemill.llm.segments import encode_segments, ragged
 
 SPACE = "▁"
 NORMAL, BYTE, BPE = 1, 6, 2
@@ -157,17 +158,8 @@ class Transducer:
         begins[offsets[:-1]] = True
         begins[-1] = False
         starts = np.flatnonzero(begins)
-        bounds = np.append(starts, len(data)).astype(np.int32)
-        body = pa.py_buffer(np.ascontiguousarray(data))
-        segments = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), body).dictionary_encode()
-        found = [self.segment(x) for x in segments.dictionary.to_pylist()]
-        sizes = np.array([len(x) for x in found], np.int64)
-        flat = np.array([x for part in found for x in part], np.int32)
-        which = segments.indices.to_numpy()
-        counts = sizes[which]
-        ids = flat[ragged((np.cumsum(sizes) - sizes)[which], counts)]
-        totals = np.concatenate([[0], np.cumsum(counts)])
-        return totals[np.searchsorted(starts, offsets)], ids, data, offsets
+        bounds, ids = encode_segments(data, starts, offsets, lambda found: [self.segment(x) for x in found])
+        return bounds, ids, data, offsets
 
     def decoded_bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all ids in a row, and where those of each id begin."""
@@ -181,13 +173,6 @@ class Transducer:
         return text[1:] if self.vocabulary.dummy_prefix and text.startswith(" ") else text
 
 
-def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Positions of runs that begin at ``starts``, one after another."""
-    ends = np.cumsum(counts)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts - ends + counts, counts) + np.arange(total)
-
-
 _compiled: dict[int, Transducer] = {}
 
 
