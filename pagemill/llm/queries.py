@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import jaccard_join, neighbour_vote, piece_transducer, soft_mixing, suffix_dedup, token_frames
+from pagemill.llm import cover_tree, jaccard_join, neighbour_vote, piece_transducer, soft_mixing, suffix_dedup, token_frames
 from pagemill.llm.common import Scratch, ship_package, table
 
 
@@ -79,6 +79,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,5 +101,6 @@ QUERIES = {
         op6_quality_classifier,
         op7_token_frames,
         op8_mixing,
+        op9_embedding_near_dedup,
     )
 }
