@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import cover_tree, jaccard_join, neighbour_vote, piece_transducer, soft_mixing, suffix_dedup, token_frames
+from pagemill.llm import cover_tree, extendible_shards, jaccard_join, neighbour_vote, piece_transducer, soft_mixing, suffix_dedup, token_frames
 from pagemill.llm.common import Scratch, ship_package, table
 
 
@@ -83,6 +83,10 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extendible_shards.shards(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,5 +106,6 @@ QUERIES = {
         op7_token_frames,
         op8_mixing,
         op9_embedding_near_dedup,
+        op10_sharding,
     )
 }
