@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import cover_tree, extendible_shards, jaccard_join, neighbour_vote, piece_transducer, soft_mixing, suffix_dedup, token_frames
+from pagemill.llm import cover_tree, extendible_shards, jaccard_join, neighbour_vote, piece_transducer, risk_rules, soft_mixing, suffix_dedup, token_frames
 from pagemill.llm.common import Scratch, ship_package, table
 
 
@@ -20,6 +20,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = risk_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *risk_rules.COUNTS, "base_failed", "kept")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = piece_transducer.read_vocabulary(tokenizer_path("piece_bpe_32k.model"))
     return piece_transducer.encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
@@ -99,6 +104,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES = {
     query.__name__: _shipped(query)
     for query in (
+        op1_quality_rules,
         op2_sentencepiece,
         op3_suffix_array_dedup,
         op5_ngram_jaccard_join,
