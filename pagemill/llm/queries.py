@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import cover_tree, extendible_shards, jaccard_join, neighbour_vote, piece_transducer, risk_rules, soft_mixing, suffix_dedup, token_frames
+from pagemill.llm import cover_tree, extendible_shards, jaccard_join, neighbour_vote, piece_transducer, risk_rules, soft_mixing, suffix_dedup, token_frames, tool_chat
 from pagemill.llm.common import Scratch, ship_package, table
 
 
@@ -44,6 +44,32 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What the questions of ``op4_chat_formatting`` call.
+TOOLS = {"answer": tool_chat.Tool({"chars": "integer", "text": "string"}, ("text",))}
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn is a call that follows the user turn before it; an assistant turn is the result."""
+    turns = table(spark, sf_dir, "conversations")
+    name = lambda back: F.concat_ws("-", "conv_id", F.col("turn") - back)
+    none = F.array().cast("array<string>")
+    call = F.struct(
+        F.when(F.col("turn") >= 2, F.array(name(2))).otherwise(none).alias("after"),
+        F.struct(F.char_length("text").alias("chars"), "text").alias("arguments"),
+        name(0).alias("id"),
+        F.lit("answer").alias("name"),
+    )
+    asked = F.to_json(F.struct(F.array(call).alias("tool_calls")))
+    answered = F.to_json(F.struct(F.col("text").alias("content"), name(1).alias("tool_call_id")))
+    messages = turns.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("role") == "user", asked).when(F.col("role") == "assistant", answered).otherwise(F.col("text")).alias("text"),
+    )
+    return tool_chat.format_chat(messages, TOOLS)
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -107,6 +133,7 @@ QUERIES = {
         op1_quality_rules,
         op2_sentencepiece,
         op3_suffix_array_dedup,
+        op4_chat_formatting,
         op5_ngram_jaccard_join,
         op6_quality_classifier,
         op7_token_frames,
