@@ -50,29 +50,31 @@ class Risk:
 
 
 def with_counts(documents: DataFrame) -> DataFrame:
-    """``documents`` with COUNTS over the whole text; each costly step is its own projection."""
+    """``documents`` with COUNTS over the whole text; each costly step is its own projection.
+
+    Windows of three words are compared by 64-bit hashes.
+    """
     text = text_of()
-    bare = F.trim(text, F.lit(WHITE))
-    rows = documents.withColumn("_words", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACES)))
+    rows = documents.withColumn("_words", F.array_remove(F.split(text, SPACES), ""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(WHITE)) != "")
     rows = rows.withColumn("_lines", lines).withColumn("n_words", F.size("_words").cast("long"))
     rows = rows.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
-    length = lambda x: F.char_length(x).cast("long")
-    rows = rows.withColumn("word_chars", length(F.translate(text, WHITE, "")))
-    rows = rows.withColumn("n_symbols", length(text) - length(F.translate(text, SYMBOLS, "")))
-    # Windows of three words, as texts: words hold no spaces.
-    rest = lambda k: F.slice("_words", k, F.greatest(F.size("_words") - 2, F.lit(0)))
-    pairs = F.zip_with(rest(1), rest(2), lambda a, b: F.concat_ws(" ", a, b))
-    rows = rows.withColumn("_windows", F.zip_with(pairs, rest(3), lambda a, b: F.concat_ws(" ", a, b))).drop("_words")
+    rows = rows.withColumn("word_chars", F.char_length(F.concat_ws("", "_words")).cast("long"))
+    rows = rows.withColumn("n_symbols", (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"))
+    rows = rows.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))).drop("_words")
+    rest = lambda k: F.slice("_hashes", k, F.greatest(F.size("_hashes") - 2, F.lit(0)))
+    pairs = F.zip_with(rest(1), rest(2), lambda a, b: F.xxhash64(a, b))
+    rows = rows.withColumn("_windows", F.zip_with(pairs, rest(3), lambda a, b: F.xxhash64(a, b))).drop("_hashes")
     again = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    placed = F.array_sort(F.transform("_windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    placed = F.sort_array(F.transform("_windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
     rows = rows.withColumn("_sorted", F.when(again, placed)).drop("_windows")
     # Neighbours of the sorted windows that are equal: both are repeated.
     after = F.slice("_sorted", F.lit(2), F.greatest(F.size("_sorted") - 1, F.lit(0)))
-    equal = F.zip_with("_sorted", after, lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("_places", F.array_distinct(F.flatten(equal))).drop("_sorted")
-    covered = F.size(F.array_distinct(F.flatten(F.transform("_places", lambda i: F.array(i, i + 1, i + 2)))))
-    return rows.withColumn("n_repeat_words", F.coalesce(F.when(F.col("_places").isNotNull(), covered), F.lit(0)).cast("long")).drop("_places")
+    equal = F.zip_with("_sorted", after, lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])))
+    rows = rows.withColumn("_pairs", F.filter(equal, lambda x: x.isNotNull())).drop("_sorted")
+    places = F.transform(F.array_distinct(F.flatten("_pairs")), lambda i: F.array(i, i + 1, i + 2))
+    rows = rows.withColumn("_covered", F.array_distinct(F.flatten(places))).drop("_pairs")
+    return rows.withColumn("n_repeat_words", F.coalesce(F.when(F.col("_covered").isNotNull(), F.size("_covered")), F.lit(0)).cast("long")).drop("_covered")
 
 
 def base_failed() -> Column:
