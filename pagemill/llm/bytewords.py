@@ -17,6 +17,7 @@ from pagemill.llm.common import WHITE
 CHUNK_BYTES = 1 << 21
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
+_OTHER_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _PLACES = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -47,6 +48,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def hash_segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
+    """A hash of the bytes of each segment; ``other`` gives a second one, independent of the first."""
+    n = len(data)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum((_OTHER_BYTE if other else _BYTE)[data] * _table("up", _BASE, n), out=prefix[1:])
+    return mix((prefix[ends] - prefix[starts]) * _table("down", _BASE_INVERSE, n + 1)[starts])
+
+
 @dataclass
 class Chunk:
     """Consecutive texts: their bytes, where they begin, and their words."""
@@ -70,10 +79,7 @@ class Chunk:
 
     def segment_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A hash of the bytes of each segment."""
-        n = len(self.data)
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * _table("up", _BASE, n), out=prefix[1:])
-        return mix((prefix[ends] - prefix[starts]) * _table("down", _BASE_INVERSE, n + 1)[starts])
+        return hash_segments(self.data, starts, ends)
 
     def word_hashes(self) -> np.ndarray:
         return self.segment_hashes(self.starts, self.ends)

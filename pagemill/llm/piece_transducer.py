@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm import bytewords as bw
-from pagemill.llm.segments import encode_segments, ragged
+from pagemill.llm.segments import SegmentCache, ragged
 
 SPACE = "▁"
 NORMAL, BYTE, BPE = 1, 6, 2
-#: Segments and pairs that a worker remembers; then it begins anew.
-REMEMBERED = 1 << 20
+#: Pairs of pieces that a worker remembers; then it begins anew.
+REMEMBERED = 1 << 19
 
 
 @dataclass
@@ -64,21 +64,30 @@ class Transducer:
 
     vocabulary: Vocabulary
     ids: dict[str, int] = field(init=False)
-    prefixes: set[str] = field(init=False)
+    arcs: dict = field(init=False)
     byte_ids: list[int] = field(init=False)
 
     def __post_init__(self) -> None:
         v = self.vocabulary
         self.ids = {p: i for i, (p, kind) in enumerate(zip(v.pieces, v.kinds, strict=True)) if kind == NORMAL}
-        self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        self.arcs = {}  # by character; under the empty text the piece that ends there
+        for piece, i in self.ids.items():
+            at = self.arcs
+            for c in piece:
+                at = at.setdefault(c, {})
+            at[""] = i
         named = {p: i for i, (p, kind) in enumerate(zip(v.pieces, v.kinds, strict=True)) if kind == BYTE}
         self.byte_ids = [named[f"<0x{b:02X}>"] for b in range(256)]
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece spans a word border")
-        within = set("".join(self.ids))
-        self.line_ends_alone = "\n" not in within
-        self._pairs: dict[tuple[str, str], bool] = {}
-        self._segments: dict[str, list[int]] = {}
+        # Two ASCII characters that follow each other in no piece have no piece across them.
+        self.apart = np.zeros((256, 256), bool)
+        self.apart[:128, :128] = True
+        for piece in self.ids:
+            raw = piece.replace(SPACE, " ").encode()
+            self.apart[list(raw[:-1]), list(raw[1:])] = False
+        self._pairs: dict[int, bool] = {}
+        self.cache = SegmentCache(self._encode)
         raw = [p.replace(SPACE, " ").encode() if kind == NORMAL else b"" for p, kind in zip(v.pieces, v.kinds, strict=True)]
         for b, i in enumerate(self.byte_ids):
             raw[i] = bytes([b])
@@ -95,49 +104,53 @@ class Transducer:
             i = min(found)[1]
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
 
-    def admits(self, left: str, right: str) -> bool:
-        """Weight 0 of an arc with ``right`` from the state ``left``; the weight is infinite otherwise."""
-        known = self._pairs.get((left, right))
-        if known is None:
-            if len(self._pairs) >= 4 * REMEMBERED:
-                self._pairs.clear()
-            known = self._pairs[left, right] = self.merged(list(left + right)) == [left, right]
+    def _admits(self, pair: int, left: int, right: int) -> bool:
+        """Weight 0 of the arc with ``right`` from the state ``left``; the weight is infinite otherwise."""
+        if len(self._pairs) >= REMEMBERED:
+            self._pairs.clear()
+        x, y = self.vocabulary.pieces[left], self.vocabulary.pieces[right]
+        known = self._pairs[pair] = self.merged(list(x + y)) == [x, y]
         return known
 
     def shortest_path(self, text: str) -> list[int]:
         """Ids of the path of finite weight over the lattice of a normalised segment.
 
         Every prefix of a segment has one path of finite weight, so each place has
-        one state: the piece that its path ends with.
+        one state: the piece that its path ends with, or -1 after the fallback machine.
         """
-        n, ids, prefixes = len(text), self.ids, self.prefixes
-        last: list[str | None] = [None] * (n + 1)
+        n, arcs, pairs, width = len(text), self.arcs, self._pairs, len(self.vocabulary.pieces)
+        last: list[int | None] = [None] * (n + 1)
         back = [0] * (n + 1)
+        last[0] = -1
         for i in range(n):
             state = last[i]
-            if i and state is None:
+            if state is None:
                 continue
-            stop = i + 1
-            while stop <= n and (piece := text[i:stop]) in prefixes:
-                if last[stop] is None and piece in ids and (not i or self.admits(state, piece)):
-                    last[stop], back[stop] = piece, i
+            at, stop = arcs, i
+            while stop < n and (at := at.get(text[stop])) is not None:
                 stop += 1
-            if stop == i + 1 or text[i] not in ids:  # only the fallback machine takes this character
-                last[i + 1], back[i + 1] = text[i], i
+                if last[stop] is None and (piece := at.get("")) is not None:
+                    if state >= 0:
+                        pair = state * width + piece
+                        admitted = pairs.get(pair)
+                        if not (self._admits(pair, state, piece) if admitted is None else admitted):
+                            continue
+                    last[stop], back[stop] = piece, i
+            if stop == i or "" not in arcs[text[i]]:  # only the fallback machine takes this character
+                last[i + 1], back[i + 1] = -1, i
         path, at = [], n
         while at:
-            piece = last[at]
-            path.append([ids[piece]] if piece in ids else [self.byte_ids[b] for b in piece.encode()])
-            at = back[at]
-        return [x for part in reversed(path) for x in part]
-
-    def segment(self, raw: str) -> list[int]:
-        known = self._segments.get(raw)
-        if known is None:
-            if len(self._segments) >= REMEMBERED:
-                self._segments.clear()
-            known = self._segments[raw] = self.shortest_path(raw.replace(" ", SPACE))
-        return known
+            before = back[at]
+            if last[at] >= 0:
+                path.append(last[at])
+            else:
+                path += [self.byte_ids[b] for b in reversed(text[before:at].encode())]
+            at = before
+        path.reverse()
+        return path
+
+    def _encode(self, segments: list[str]) -> list[list[int]]:
+        return [self.shortest_path(s.replace(" ", SPACE)) for s in segments]
 
     def encode_chunk(self, chunk: bw.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Offsets and ids by text, and the normalised bytes with their offsets."""
@@ -151,14 +164,11 @@ class Transducer:
         spaced = blank.copy()  # a written U+2581 is a space too
         spaced[2:] |= (data[2:] == 0x81) & (data[1:-1] == 0x96) & (data[:-2] == 0xE2)
         begins[1:-1] = blank[1:] & ~spaced[:-1]
-        if self.line_ends_alone:
-            line = data == 10
-            begins[:-1] |= line
-            begins[1:] |= line
+        begins[1:-1] |= self.apart[data[:-1], data[1:]]
         begins[offsets[:-1]] = True
         begins[-1] = False
         starts = np.flatnonzero(begins)
-        bounds, ids = encode_segments(data, starts, offsets, lambda found: [self.segment(x) for x in found])
+        bounds, ids = self.cache.encode_all(data, starts, offsets)
         return bounds, ids, data, offsets
 
     def decoded_bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
