@@ -34,13 +34,13 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = suffix_dedup.spans(documents)
     words = lambda spans: F.aggregate(spans, F.lit(0), lambda n, s: n + s["end"] - s["start"])
-    none = F.array().cast(found.schema["later"].dataType)
+    text = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws("-", s["start"], s["end"])))
     return documents.select("doc_id").join(found, "doc_id", "left").select(
         "doc_id",
         F.coalesce(words("repeated"), F.lit(0)).alias("n_repeated_words"),
         F.coalesce(words("later"), F.lit(0)).alias("n_cut_words"),
-        F.coalesce("repeated", none).alias("repeated_spans"),
-        F.coalesce("later", none).alias("cut_spans"),
+        text("repeated").alias("repeated_spans"),
+        text("later").alias("cut_spans"),
     )
 
 
@@ -100,7 +100,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = documents.select("doc_id", F.col("lang").alias("domain")).join(
         table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"
     )
-    mixed, model = soft_mixing.mix(documents, labelled, MIX)
+    mixed, model = soft_mixing.mixed_columns(documents, labelled, MIX, ["doc_id"])
     return mixed.select(
         "doc_id",
         F.col("_n").alias("n_words"),

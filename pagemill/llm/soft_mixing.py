@@ -167,12 +167,25 @@ def mix(
     documents: DataFrame, labelled: DataFrame, weights: dict[str, float], keep_all: bool = False, settings: Settings | None = None
 ) -> tuple[DataFrame, Model]:
     """``documents`` with ``_n``, ``_p``, ``_rate`` and ``_copies``; columns of these names are replaced."""
+    return mixed_columns(documents, labelled, weights, documents.columns, keep_all, settings)
+
+
+def mixed_columns(
+    documents: DataFrame,
+    labelled: DataFrame,
+    weights: dict[str, float],
+    keep: list[str],
+    keep_all: bool = False,
+    settings: Settings | None = None,
+) -> tuple[DataFrame, Model]:
+    """As ``mix``, with the columns ``keep`` only; the texts are read once to weigh them."""
     scratch = Scratch(documents.sparkSession)
-    documents = documents.drop("_n", "_p", "_rate", "_copies", "_words", "_found", "_logits", "_odds")
+    new = ("_n", "_p", "_rate", "_copies", "_words", "_found", "_logits", "_odds")
+    documents = documents.drop(*new)
     model = fit(documents, labelled, list(weights), settings)
-    narrow = scratch.save(with_posteriors(documents, model).select("_n", "_p"), "posteriors")
+    kept = [c for c in keep if c not in new]
+    rows = scratch.save(with_posteriors(documents, model).select(*kept, "_n", "_p"), "posteriors")
+    narrow = rows.select("_n", "_p")
     targets = targets_of(expected(narrow, model), weights, model.domains, keep_all)
-    steps = fit_rates(narrow, targets, settings)
-    scratch.drop("posteriors")
-    rows = with_posteriors(documents, model).withColumn("_rate", rate(steps))
+    rows = rows.withColumn("_rate", rate(fit_rates(narrow, targets, settings)))
     return rows.withColumn("_copies", copies(F.col("doc_id"), int(keep_all))), model
