@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import bytewords as bw
 from pagemill.llm.common import Scratch, batches_of
-from pagemill.llm.segments import encode_segments
+from pagemill.llm.segments import SegmentCache
 
 SKIPPABLE = 0x184D2A50
 GAP = "P*M\x18\0\0\0\0"
@@ -54,17 +54,25 @@ class Encoder:
     """A byte-level merge tokenizer that remembers the segments it has seen.
 
     Its pattern never joins what is on both sides of a space or a lone line end
-    before a visible character, so texts are cut there.
+    before a visible character, nor a letter with a sign after it but an apostrophe,
+    so texts are cut there.
     """
 
-    REMEMBERED = 1 << 20
+    #: New segments that are encoded in one text.
+    TOGETHER = 4096
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, list[int]] = {}
+        self.cache = SegmentCache(self._encode)
+        lengths = {i: len(token) for token, i in self.tokenizer.get_vocab().items()}  # a character is a byte
+        self.token_bytes = np.array([lengths.get(i, 0) for i in range(max(lengths) + 1)], np.int64)
+        self.letter = np.zeros(256, bool)
+        self.letter[[*range(65, 91), *range(97, 123)]] = True
+        self.sign = np.zeros(256, bool)
+        self.sign[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27]] = True
         visible = np.zeros(256, bool)
         visible[0x21:0x7F] = True
         self.before = visible
@@ -72,15 +80,36 @@ class Encoder:
         self.after[0xC3:0xF5] = True
         self.after[[0xE1, 0xE2, 0xE3]] = False  # these may begin a space of Unicode
 
-    def lookup(self, segments: list[str]) -> list[list[int]]:
-        new = [s for s in segments if s not in self.known]
-        if len(self.known) + len(new) > self.REMEMBERED:
-            self.known.clear()
-            new = segments
-        if new:
-            for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[s] = e.ids
-        return [self.known[s] for s in segments]
+    def _encode(self, segments: list[str]) -> list[list[int]]:
+        """Ids of each segment; those that may stand in a line are encoded together.
+
+        A segment with a space in front follows another as it is, one without follows a
+        line end.  The ends of tokens show where each segment ends; if one does not fall
+        on a token's end, the segments are encoded one by one.
+        """
+        plain = [not (s[-1].isspace() or s[0].isspace() and (s[0] != " " or s[1].isspace())) for s in segments]
+        out: list[list[int]] = [[]] * len(segments)
+        alone = [i for i, ok in enumerate(plain) if not ok]
+        together = [i for i, ok in enumerate(plain) if ok]
+        groups = [together[k : k + self.TOGETHER] for k in range(0, len(together), self.TOGETHER)]
+        texts = [[segments[i] if segments[i][0] == " " else "\n" + segments[i] for i in group] for group in groups]
+        for group, parts, found in zip(groups, texts, self._ids(["".join(x) for x in texts]), strict=True):
+            ends = np.cumsum(np.fromiter((len(x.encode()) for x in parts), np.int64, len(parts)))
+            at = np.cumsum(self.token_bytes[found])
+            stops = np.searchsorted(at, ends)
+            if not len(at) or (at[np.minimum(stops, len(at) - 1)] != ends).any():
+                alone += group
+                continue
+            first = 0
+            for i, part, stop in zip(group, parts, (stops + 1).tolist(), strict=True):
+                out[i] = found[first + (part[0] == "\n") : stop]
+                first = stop
+        for i, found in zip(alone, self._ids([segments[i] for i in alone]), strict=True):
+            out[i] = found
+        return out
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def encode_chunk(self, chunk: bw.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Bounds by text, and ids."""
@@ -92,9 +121,10 @@ class Encoder:
             line = (data[1:-1] == 10) & self.before[data[:-2]] & follows[1:]
             begins[1:-2] |= line
             begins[2:-1] |= line
+            begins[1:-1] |= self.letter[data[:-1]] & self.sign[data[1:]]
         begins[chunk.offsets[:-1]] = True
         begins[-1] = False
-        return encode_segments(data, np.flatnonzero(begins), chunk.offsets, self.lookup)
+        return self.cache.encode_all(data, np.flatnonzero(begins), chunk.offsets)
 
 
 _encoders: dict[int, Encoder] = {}
