@@ -146,7 +146,7 @@ ORACLES = {
     "upsert_keep_last": _with(["merged"], "select * from merged"),
     "write_catalog": _with(
         ["merged"],
-        """select id, page, drug, link, company, protocol, pub_date, format
+        """select id, page, drug, concat(chr(9), ' ', link, '  ') as link, company, protocol, pub_date, format
            from merged, (select unnest(['parquet', 'csv']) as format)""",
     ),
     "duplicates_report": _with(
@@ -167,14 +167,14 @@ ORACLES = {
     "completeness_global": _with(
         ["catalog", "crawled"],
         """select expected, found, expected - found as diff,
-             case when found = 0 then 'no_local' when expected is null then 'no_metadata'
+             case when expected is null then 'no_metadata' when found = 0 and expected > 0 then 'no_local'
                   when found < expected then 'missing' when found > expected then 'excess' else 'complete' end as status
            from (select (select sum(size)::bigint from crawled) as expected, (select count(*) from catalog) as found)""",
     ),
     "progress_entries": _with(
-        ["crawled"],
-        """select '20240101000000' as timestamp, p.id as category_id, p.page as current_page, c.last_page, n::int as saved_size
-           from page_counts p join crawled c on p.id = c.id""",
+        ["page_counts"],
+        """select '20240101000000' as timestamp, id as category_id, page as current_page,
+             max(page) over (partition by id) as last_page, n::int as saved_size from page_counts""",
     ),
     "last_progress": _with(["latest"], "select * from latest"),
     "resume_plan": _with(
@@ -198,22 +198,40 @@ ORACLES = {
     "stalled_pages": _with(
         ["progress"],
         """select category_id, current_page, last_page, saved_size, ts, seq
-           from (select *, lag(current_page) over (partition by category_id order by seq) as previous from progress)
+           from (select * replace (nullif(category_id, 5) as category_id),
+                   lag(current_page) over (partition by category_id order by seq) as previous from progress)
            where previous = current_page""",
     ),
     "contiguous_prefix": _with(
         ["found_counts"],
-        """select f.id, f.page, f.n from found_counts f
-           left join (select id, min(page) as stop from found_counts where n = 0 group by id) s on f.id = s.id
+        """, f as (select id, page, n from found_counts
+             union all select case when id <> 2 then id + 100 end, page, n from found_counts)
+           select f.id, f.page, f.n from f
+           left join (select id, min(page) as stop from f where n = 0 group by id) s on f.id is not distinct from s.id
            where s.stop is null or f.page < s.stop""",
     ),
     # Nothing was saved before, so the first harvest keeps all rows as they are.
     "harvest_run": _with(["catalog"], f"select {_COLUMNS} from catalog"),
     "harvest_check": _with(["merged", "measured"], _completeness("merged", "measured")),
+    "harvest_force": _with(["catalog"], f"select {_COLUMNS} from catalog"),
+    "harvest_crawl_only": _with(["measured"], "select id, items_page, last_page, size from measured"),
+    "check_category": _with(
+        ["catalog", "measured"], f"select * from ({_completeness('catalog', 'measured')}) where id in (1, 2, 12)"
+    ),
+    "consolidate_replay": _with(["merged"], "select * from merged"),
+    "relanded_pages": _with(
+        ["catalog"],
+        """select id, page, case when page % 2 = 0 then 'Re' || lower(drug[1]) || drug[2:] else drug end as drug, link, company,
+             protocol, pub_date, case when id <> 3 then batch end as batch, pos, way
+           from catalog, (select unnest(['batch', 'stream']) as way)""",
+    ),
     "stream_upsert": _with(["merged"], "select * from merged"),
     "assemble_chat": """
-        select conv_id, (turn // 64)::int as part, count(*)::int as n_messages,
-          to_json(list(struct_pack(role := role, content := text) order by turn))::varchar as messages
-        from conversations group by conv_id, turn // 64""",
+        with turns as (
+          select conv_id, turn, role, text from conversations
+          union all select -1 - conv_id // 20, conv_id % 20 * 1000 + turn, role, text from conversations)
+        select conv_id, count(*)::int as n_messages,
+          to_json(list(struct_pack(role := role, content := text) order by turn, role, text))::varchar as messages
+        from turns group by conv_id""",
     "harvest_report": _with(["merged", "measured"], _completeness("merged", "measured")),
 }

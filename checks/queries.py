@@ -127,9 +127,10 @@ def upsert_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both formats of the catalog, read back."""
+    """Both formats of the catalog, read back; links have blanks at both ends."""
     store = CatalogStore(spark, storage.shared_dir(spark))
-    store.write(C.keep_last(fx.catalog(spark, sf_dir)), "1", unique=True)
+    rows = C.keep_last(fx.catalog(spark, sf_dir)).withColumn("link", F.concat(F.lit("\t "), "link", F.lit("  ")))
+    store.write(rows, "1", unique=True)
     parquet = store.read().select(*CATALOG_COLUMNS, F.lit("parquet").alias("format"))
     schema = CATALOG[: len(CATALOG_COLUMNS)]
     csv = snapshots.read_latest(spark, store.csv, schema, "csv")
@@ -196,7 +197,8 @@ def completeness_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def progress_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = fx.page_counts(spark, sf_dir).join(F.broadcast(fx.crawled(spark, sf_dir).select("id", "last_page")), "id")
+    pages = fx.page_counts(spark, sf_dir)
+    pages = pages.join(pages.groupBy("id").agg(F.max("page").alias("last_page")), "id")
     return resume.progress_entries(pages, "20240101000000")
 
 
@@ -214,11 +216,16 @@ def missing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stalled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resume.stalled_pages(fx.progress(spark, sf_dir))
+    """The entries of category 5 have lost their category."""
+    log = fx.progress(spark, sf_dir)
+    return resume.stalled_pages(log.withColumn("category_id", F.nullif("category_id", F.lit(5))))
 
 
 def contiguous_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resume.contiguous_prefix(fx.found_counts(spark, sf_dir))
+    """Categories of the domain, the same under ids beyond it, and one under no id."""
+    pages = fx.found_counts(spark, sf_dir)
+    beyond = pages.withColumn("id", F.when(F.col("id") != 2, F.col("id") + 100))
+    return resume.contiguous_prefix(pages.unionByName(beyond))
 
 
 # --- whole jobs ---
@@ -263,8 +270,73 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CatalogStore(spark, space.root).read()
 
 
+def check_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check of one category at a time; 12 is empty."""
+    pages, space = _landed(spark, sf_dir)
+    harvest.run(spark, pages, space.root)
+    checked = [harvest.check(spark, space, c).select(F.lit(c).alias("id"), "*") for c in (1, 2, 12)]
+    return C.scan_union(*checked)
+
+
+def harvest_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A harvest of the old pages, then a forced one of all: the catalog is replaced."""
+    root = storage.shared_dir(spark)
+    space, pages = harvest.Workspace(f"{root}/space"), fx.listing_pages(spark, sf_dir)
+    pages.where("batch = 0").write.parquet(f"{root}/landing")
+    harvest.run(spark, f"{root}/landing", space.root)
+    pages.where("batch = 1").write.mode("append").parquet(f"{root}/landing")
+    harvest.run(spark, f"{root}/landing", space.root, force=True)
+    return CatalogStore(spark, space.root).read()
+
+
+def harvest_crawl_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, space = _landed(spark, sf_dir)
+    harvest.run(spark, pages, space.root, crawl_only=True)
+    return harvest.read_crawled(spark, space)
+
+
+def consolidate_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job dies after the second run is written, before its load is dropped; the next call changes nothing."""
+    pages, space = _landed(spark, sf_dir)
+    for batch in (0, 1):
+        landed = landing.read_pages(spark, pages).where(F.col("batch") == batch)
+        harvest.store_pages(landed, space, str(batch))
+        run = harvest.consolidate_chunks(spark, space, csv=False)
+    harvest.store_pages(landed, space, "1")  # as it was
+    storage.touch(spark, f"{snapshots.run_path(space.merged, run)}/load=1/_MERGED")
+    harvest.consolidate_chunks(spark, space, csv=False)
+    return CatalogStore(spark, space.root).read()
+
+
+def relanded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second page lands again, as two copies, with other drugs; category 3 has no batch numbers.
+
+    Both ways into the chunk store, which have to agree.
+    """
+    root = storage.shared_dir(spark)
+    batch = F.when(F.col("id") != 3, F.col("batch"))
+    pages = snapshots.staged(fx.listing_pages(spark, sf_dir).withColumn("batch", batch), f"{root}/pages", "1")
+    later = pages.where("page % 2 = 0").withColumn("html", F.replace("html", F.lit("<b>Drug"), F.lit("<b>Redrug")))
+    pages.write.parquet(f"{root}/landing")
+    later.unionByName(later).write.mode("append").parquet(f"{root}/landing")
+    rows = []
+    for way in ("batch", "stream"):
+        space = harvest.Workspace(f"{root}/{way}")
+        if way == "batch":
+            harvest.store_pages(landing.read_pages(spark, f"{root}/landing"), space, "1")
+        else:
+            ingest.ingest_pages(spark, f"{root}/landing", space)
+        stored = chunks.scan_chunks(spark, space.chunks)
+        rows.append(chunks.catalog_rows(chunks.saved_rows(stored)).withColumn("way", F.lit(way)))
+    return C.scan_union(*rows)
+
+
 def assemble_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.assemble_chat(fx.table(spark, sf_dir, "conversations"))
+    """Conversations, and twenty at a time as one, which are longer than any alone."""
+    turns = fx.table(spark, sf_dir, "conversations")
+    twenty = F.floor(F.col("conv_id") / 20)
+    joined = turns.withColumn("turn", (F.col("conv_id") - twenty * 20) * 1000 + F.col("turn"))
+    return chat.assemble_chat(turns.unionByName(joined.withColumn("conv_id", -1 - twenty)))
 
 
 def harvest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,6 +390,11 @@ QUERIES = {
         contiguous_prefix,
         harvest_run,
         harvest_check,
+        harvest_force,
+        harvest_crawl_only,
+        check_category,
+        consolidate_replay,
+        relanded_pages,
         stream_upsert,
         assemble_chat,
         harvest_report,

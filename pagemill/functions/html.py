@@ -18,8 +18,6 @@ _BLANKED = "<!>"
 _COMMENT = r"!--[^-]*+(?:-(?!->)[^-]*+)*+-->"
 _HIDDEN = rf"(?i)<(?:{_COMMENT}|(script|style)(?=[\s>])[^<]*+(?:<(?!/\1[\s>])[^<]*+)*+</\1\s*>)"
 _TAG = rf"<(?:!|/?[A-Za-z]{_ATTRS})>"
-# A noncharacter: it stands for a tag while a text is split.
-_MARK = "\uffff"
 
 
 def _open(tag: str) -> str:
@@ -93,8 +91,8 @@ def row_count(markup: Column) -> Column:
 def text_of(markup: Column) -> Column:
     """Text pieces between tags, each stripped, joined without a separator."""
     tags = F.contains(markup, F.lit("<"))
-    marked = F.when(tags, F.regexp_replace(markup, _TAG, _MARK)).otherwise(markup)
-    return F.array_join(F.transform(F.split(marked, _MARK), lambda piece: strip(decode_entities(piece))), "")
+    pieces = F.when(tags, F.split(markup, _TAG)).otherwise(F.array(markup))
+    return F.array_join(F.transform(pieces, lambda piece: strip(decode_entities(piece))), "")
 
 
 def href_markup(markup: Column) -> Column:

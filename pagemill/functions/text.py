@@ -23,23 +23,30 @@ SERIALISED_ENTITIES = [
     ("&nbsp;", "\xa0"),
     ("&amp;", "&"),
 ]
-_ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+_ENTITY = "&(?:#[0-9]++|#[xX][0-9a-fA-F]++|[A-Za-z][A-Za-z0-9]{1,30});"
 _RARE_ENTITY = "&(?!(?:lt|gt|quot|nbsp|amp);)[#A-Za-z]"
-# A noncharacter: it marks the edges of an entity while a text is split.
-_MARK = "\uffff"
+# An entity, or what is before the next one; a lone ``&`` is text.
+_PIECES = f"(?s){_ENTITY}|(?:(?!{_ENTITY}).)++"
 
 _NAMES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
 # One literal text, so that the map is folded to a constant while planning.
 _NAMED = "str_to_map('{}', '\\u0001', '\\u0002')".format(
     "\\u0001".join(f"{name}\\u0002\\u{ord(char):04x}" for name, char in _NAMES.items())
 )
-_CODE = "if(p rlike '^&#[xX]', conv(substring(p, 4, length(p) - 4), 16, 10), substring(p, 3, length(p) - 3))"
+_DIGITS = "ltrim('0', if(p rlike '^&#[xX]', substring(p, 4, length(p) - 4), substring(p, 3, length(p) - 3)))"
+# Longer numbers are out of range; none of them reaches the conversion.
+_CODE = f"cast(case when length({_DIGITS}) > 7 then '0' when p rlike '^&#[xX]' then conv({_DIGITS}, 16, 10) else {_DIGITS} end as int)"
+# References to the control characters 128 to 159 mean those of code page 1252, as HTML has it.
+_PAGE_1252 = {c: t for c in range(128, 160) if (t := bytes([c]).decode("cp1252", "ignore"))}
+_CONTROLS = "str_to_map('{}', '\\u0001', '\\u0002')".format("\\u0001".join(f"{c}\\u0002\\u{ord(t):04x}" for c, t in _PAGE_1252.items()))
 # The pieces of a text are entities or the text between them.
 _DECODE_PIECE = f"""p -> case
     when not p rlike '^{_ENTITY}$' then p
     when p not like '&#%' then coalesce(try_element_at({_NAMED}, substring(p, 2, length(p) - 2)), p)
-    when cast({_CODE} as int) between 1 and 55295 or cast({_CODE} as int) between 57344 and 1114111
-        then decode(unhex(lpad(hex(cast({_CODE} as int)), 8, '0')), 'UTF-32')
+    when {_CODE} between 128 and 159 and try_element_at({_CONTROLS}, cast({_CODE} as string)) is not null
+        then try_element_at({_CONTROLS}, cast({_CODE} as string))
+    when {_CODE} between 1 and 55295 or {_CODE} between 57344 and 1114111
+        then decode(unhex(lpad(hex({_CODE}), 8, '0')), 'UTF-32')
     else '\\ufffd' end"""
 
 
@@ -66,8 +73,8 @@ def decode_entities(text: Column) -> Column:
     plain = text
     for entity, char in SERIALISED_ENTITIES:
         plain = F.replace(plain, F.lit(entity), F.lit(char))
-    marked = F.regexp_replace(text, f"({_ENTITY})", f"{_MARK}$1{_MARK}")
-    full = F.array_join(F.call_function("transform", F.split(marked, _MARK), F.expr(_DECODE_PIECE)), "")
+    pieces = F.regexp_extract_all(text, F.lit(_PIECES), 0)
+    full = F.array_join(F.call_function("transform", pieces, F.expr(_DECODE_PIECE)), "")
     return F.when(~F.contains(text, F.lit("&")), text).when(~F.rlike(text, F.lit(_RARE_ENTITY)), plain).otherwise(full)
 
 

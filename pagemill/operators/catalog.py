@@ -115,7 +115,13 @@ def stale_versions(rows: DataFrame, version: list[str]) -> DataFrame:
 
 
 def without_versions(rows: DataFrame, stale: DataFrame, version: list[str]) -> DataFrame:
-    return rows.join(stale, ["id", "page", *version], "left_anti").select(*rows.columns)
+    """Rows of other versions; a version with a NULL in it is a version too."""
+    columns = ["id", "page", *version]
+    named = stale.select(*[F.col(c).alias(f"_{c}") for c in columns])
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(named, same, "left_anti")
 
 
 def latest_pages(rows: DataFrame, version: list[str]) -> DataFrame:

@@ -1,32 +1,27 @@
 """Assembly of chat turns into message lists."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Turns per assembled list.
-PART_TURNS = 64
 
+def _json(value: Column) -> Column:
+    """JSON that keeps what is NULL."""
+    return F.to_json(value, {"ignoreNullFields": "false"})
 
-def assemble_chat(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """Ordered ``{role, content}`` messages per conversation, as JSON lists.
 
-    A conversation may be of any length, so it is cut at every ``part_turns``
-    turns into numbered parts; the parts in order are the whole transcript.  A
-    list therefore holds at most ``part_turns`` messages.
+def message_table(turns: DataFrame) -> DataFrame:
+    """One ``{role, content}`` message per turn; (conv_id, turn) is the order.
+
+    For conversations that are too long for one row.
     """
-    part = F.floor(F.col("turn") / part_turns).cast("int")
+    message = F.struct("role", F.col("text").alias("content"))
+    return turns.select("conv_id", "turn", _json(message).alias("message"))
+
+
+def assemble_chat(turns: DataFrame) -> DataFrame:
+    """The whole ordered list of ``{role, content}`` messages, one row per conversation."""
     message = F.struct("turn", "role", F.col("text").alias("content"))
     ordered = F.array_sort(F.collect_list(message))
-    untimed = F.transform(
-        "messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))
-    )
-    return (
-        turns.groupBy("conv_id", part.alias("part"))
-        .agg(ordered.alias("messages"))
-        .select(
-            "conv_id",
-            "part",
-            F.size("messages").alias("n_messages"),
-            F.to_json(untimed).alias("messages"),
-        )
-    )
+    untimed = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    assembled = turns.groupBy("conv_id").agg(ordered.alias("messages"))
+    return assembled.select("conv_id", F.size("messages").alias("n_messages"), _json(untimed).alias("messages"))

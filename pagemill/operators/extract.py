@@ -104,15 +104,16 @@ def extract_listing_rows(pages: DataFrame) -> DataFrame:
 
 
 def extract_chunk_rows(pages: DataFrame) -> DataFrame:
-    """Chunk rows of landed pages: catalog rows plus the announced last page.
+    """Chunk rows of landed pages: catalog rows plus the announced last page; other columns are kept.
 
     A page without whole rows gives one row whose ``pos`` is NULL, so that the
     stop at the first empty page can be decided without parsing the page again.
     """
+    kept = [c for c in pages.columns if c not in ("id", "page", "html")]
     rows = with_pagination(visible(pages)).select(
         "id",
         "page",
-        "batch",
+        *kept,
         F.col("last").alias("last_page"),
         F.posexplode_outer(H.whole_rows(F.col("markup"))).alias("pos", "cells"),
     )

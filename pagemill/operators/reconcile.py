@@ -1,5 +1,7 @@
 """Row counts, volume estimates and their reconciliation."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,18 +43,29 @@ def first_page_stats(pages: DataFrame) -> DataFrame:
     return by_category.agg(F.max("first").alias("first")).select("id", "first.*")
 
 
-def crawl_metadata(domain: DataFrame, pages: DataFrame, first: DataFrame | None = None) -> DataFrame:
+def crawl_metadata(
+    domain: DataFrame,
+    pages: DataFrame,
+    first: DataFrame | None = None,
+    newest: Callable[[DataFrame], DataFrame] = lambda pages: pages,
+) -> DataFrame:
     """Metadata of every category of the domain; what was not seen is zero.
 
-    Only the first and the last page of each category are parsed.  ``first``
-    has one row per category and is cut to the domain, which bounds what is
-    broadcast.
+    Only the first and the last page of each category are read: the first ones
+    tell where the last ones are, at most one small row per category of the
+    domain, and both are literals that reach the scan.  ``first`` may be given, and
+    ``newest`` chooses among pages that landed more than once.
     """
     if first is None:
         first = first_page_stats(pages)
-    first = F.broadcast(first.join(F.broadcast(domain), "id", "left_semi"))
-    wanted = first.select("id", F.col("last_page").alias("page"))
-    last_pages = visible(pages.join(wanted, ["id", "page"]))
+    rows = first.join(F.broadcast(domain), "id", "left_semi").collect()
+    names = ["id", "items_page", "last_page", "first_rows"]
+    known = F.array(*[F.struct(*[F.lit(row[c]).cast("int").alias(c) for c in names]) for row in rows])
+    first = domain.limit(1).select(F.inline(known)) if rows else first.where(F.lit(False))
+    wanted = F.lit(False)
+    for row in rows:
+        wanted = wanted | ((F.col("id") == row["id"]) & (F.col("page") == row["last_page"]))
+    last_pages = visible(newest(pages.where(wanted)))
     last_counts = last_pages.select("id", H.row_count(F.col("markup")).alias("n"))
     last = last_counts.groupBy("id").agg(F.max("n").alias("last_rows"))
     found = first.join(last, "id").select(
@@ -79,8 +92,15 @@ def empty_categories(metadata: DataFrame) -> DataFrame:
     return metadata.where(F.col("size") == 0).select("id")
 
 
-def _difference_status(expected: Column, found: Column) -> Column:
-    return F.when(found < expected, "missing").when(found > expected, "excess").otherwise("complete")
+def _status(expected: Column, found: Column) -> Column:
+    """``no_local`` only where rows are expected: nothing of nothing is complete."""
+    return (
+        F.when(expected.isNull(), "no_metadata")
+        .when((found == 0) & (expected > 0), "no_local")
+        .when(found < expected, "missing")
+        .when(found > expected, "excess")
+        .otherwise("complete")
+    )
 
 
 def completeness_by_category(catalog: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -91,11 +111,7 @@ def completeness_by_category(catalog: DataFrame, metadata: DataFrame) -> DataFra
     expected = metadata.groupBy("id").agg(F.sum("size").cast("bigint").alias("expected"))
     local = catalog.groupBy("id").agg(F.count("*").alias("found"))
     found = F.coalesce(F.col("found"), F.lit(0))
-    status = (
-        F.when(F.col("expected").isNull(), "no_metadata")
-        .when((found == 0) & (F.col("expected") > 0), "no_local")
-        .otherwise(_difference_status(F.col("expected"), found))
-    )
+    status = _status(F.col("expected"), found)
     return expected.join(local, "id", "full_outer").select(
         "id", "expected", found.alias("found"), (F.col("expected") - found).alias("diff"), status.alias("status")
     )
@@ -112,10 +128,6 @@ def completeness_global(catalog: DataFrame, metadata: DataFrame) -> DataFrame:
         catalog.select(none.alias("size"), F.lit(1).cast("bigint").alias("row"))
     )
     expected, found = F.col("expected"), F.col("found")
-    status = (
-        F.when(found == 0, "no_local")
-        .when(expected.isNull(), "no_metadata")
-        .otherwise(_difference_status(expected, found))
-    )
+    status = _status(expected, found)
     summed = totals.agg(F.sum("size").cast("bigint").alias("expected"), F.count("row").alias("found"))
     return summed.select(expected, found, (expected - found).alias("diff"), status.alias("status"))

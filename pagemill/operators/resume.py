@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions.html import next_page
-from pagemill.schemas import CATEGORY_IDS
 
 PROGRESS_ORDER = ["timestamp", "current_page"]
 
@@ -95,16 +94,24 @@ def previous_in_log(log: DataFrame, key: str, seq: str, value: str, block: int =
 
     ``seq`` is a unique position.  Neighbours are compared within blocks of
     positions; the last value of each block, one row per key and block, is then
-    handed to the block after it.  No window holds a whole key.
+    handed to the block after it.  No window holds a whole key.  Entries without
+    a position come first under their key, in no order among themselves; a NULL
+    key is a key.
     """
-    blocked = log.withColumn("_block", F.floor(F.col(seq) / block))
-    within = Window.partitionBy(key, "_block").orderBy(seq)
-    across = Window.partitionBy(key).orderBy("_block")
-    ends = blocked.groupBy(key, "_block").agg(F.max_by(value, seq).alias("_end"))
-    carried = ends.select(key, "_block", F.lag("_end").over(across).alias("_carried"))
+    # Never NULL, so that windows and join deal out the rows alike.
+    parts = ["_key", "_none", "_block"]
+    blocked = (
+        log.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit("")))
+        .withColumn("_none", F.col(key).isNull())
+        .withColumn("_block", F.coalesce(F.floor(F.col(seq) / block), F.lit(-1)))
+    )
+    within = Window.partitionBy(*parts).orderBy(seq)
+    across = Window.partitionBy("_key", "_none").orderBy("_block")
+    ends = blocked.groupBy(*parts).agg(F.max_by(value, seq).alias("_end"))
+    carried = ends.select(*parts, F.lag("_end").over(across).alias("_carried"))
     inside = blocked.select("*", F.lag(value).over(within).alias("_before"), F.row_number().over(within).alias("_rank"))
     previous = F.when(F.col("_rank") == 1, F.col("_carried")).otherwise(F.col("_before"))
-    return inside.join(carried, [key, "_block"]).select(*log.columns, previous.alias("previous"))
+    return inside.join(carried, parts).select(*log.columns, previous.alias("previous"))
 
 
 def stalled_pages(
@@ -125,9 +132,8 @@ def contiguous_prefix(page_counts: DataFrame) -> DataFrame:
 def before_stop(rows: DataFrame, stops: DataFrame) -> DataFrame:
     """Rows of pages before the stop of their category, if it has one.
 
-    ``stops`` has one row per category and is cut to the fixed category
-    domain, which bounds the broadcast; the rows are not shuffled.
+    Any category counts, NULL too.  ``stops`` has one row per category; adaptive
+    execution broadcasts it when it is small, and splits a large category if not.
     """
-    stops = F.broadcast(stops.where(F.col("stop_id").isin(CATEGORY_IDS)))
-    joined = rows.join(stops, F.col("id") == F.col("stop_id"), "left")
+    joined = rows.join(stops, F.col("id").eqNullSafe(F.col("stop_id")), "left")
     return joined.where(F.col("stop").isNull() | (F.col("page") < F.col("stop"))).select(*rows.columns)

@@ -5,9 +5,6 @@ from pyspark.sql import functions as F
 
 # Rows of one key that a single task may take.
 HOT_ROWS = 1_000_000
-# How many of the largest keys are split.  Any other key holds at most
-# 1 / HOT_KEYS of all rows, and this bounds what is broadcast.
-HOT_KEYS = 10_000
 
 
 def rows_of_large_groups(
@@ -16,24 +13,19 @@ def rows_of_large_groups(
     seq: list[str],
     min_rows: int = 2,
     hot_rows: int = HOT_ROWS,
-    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """All rows whose ``key`` occurs ``min_rows`` times or more; NULL is a key too.
 
     The group sizes come from a partial aggregation, so a hot key reaches the
-    shuffle as one count per input partition.  Rows of hot keys are then spread
-    over as many salts as their count asks for, and only the (small) count
-    table is repeated per salt; no group is ever gathered in one task.
+    shuffle as one count per input partition.  Rows of every key with ``hot_rows``
+    rows or more are then spread over as many salts as their count asks for, and
+    only the count table is repeated per salt; no group is ever gathered in one
+    task.  Of N rows, at most N / ``hot_rows`` keys are hot, which bounds the
+    broadcast: a million keys of 10**12 rows.
     """
     sizes = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_rows)
-    hot = (
-        sizes.where(F.col("_n") >= hot_rows)
-        .orderBy(F.desc("_n"), "_key")
-        .limit(hot_keys)
-        .select(F.col("_key").alias("_hot"), F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_salts"))
-    )
-    # At most ``hot_keys`` rows, so the broadcast is bounded.
-    hot = F.broadcast(hot)
+    salts = F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int")
+    hot = F.broadcast(sizes.where(F.col("_n") >= hot_rows).select(F.col("_key").alias("_hot"), salts.alias("_salts")))
     salt = F.when(
         F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*seq), F.col("_salts")).cast("int")
     ).otherwise(F.lit(0))

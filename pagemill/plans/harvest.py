@@ -31,6 +31,11 @@ class Workspace:
     def chunks(self) -> str:
         return f"{self.root}/chunks"
 
+    @property
+    def merged(self) -> str:
+        """For a catalog run in the making, the loads that go into it."""
+        return f"{self.root}/merged"
+
     @property
     def staged(self) -> str:
         return f"{self.root}/staged"
@@ -39,17 +44,12 @@ class Workspace:
 def crawl(spark: SparkSession, pages_path: str, space: Workspace) -> DataFrame:
     """Write a new run of crawl metadata from the first and last pages.
 
-    The first pages are read to learn where the last ones are: at most one row
-    per category of the fixed domain comes to the driver.  Both reads then
-    filter on literals, so the parquet scan skips every other page.
+    Both reads filter on literals, so the parquet scan skips every other page.
     """
     pages = landing.read_pages(spark, pages_path)
     first_pages = landing.pages_at(pages, [(c, 1) for c in CATEGORY_IDS])
-    first = spark.createDataFrame(
-        reconcile.first_page_stats(first_pages).collect(), "id int, items_page int, last_page int, first_rows int"
-    )
-    last_pages = landing.pages_at(pages, [(r["id"], r["last_page"]) for r in first.collect()])
-    metadata = reconcile.crawl_metadata(reconcile.category_domain(spark), last_pages, first)
+    first = reconcile.first_page_stats(first_pages)
+    metadata = reconcile.crawl_metadata(reconcile.category_domain(spark), pages, first, landing.newest_pages)
     run = snapshots.new_run()
     snapshots.write_run(metadata.coalesce(1), space.crawled, run, "csv")
     return snapshots.read_run(spark, space.crawled, run, METADATA, "csv")
@@ -105,10 +105,17 @@ def save_pages(
 
 
 def store_pages(pages: DataFrame, space: Workspace, load: str) -> None:
-    """Extract landed pages into a load of chunks and log it."""
-    current = landing.current_pages(pages, f"{space.staged}/repeated", load)
-    chunks.write_chunks(extract_chunk_rows(current), space.chunks, load)
-    log_load(pages.sparkSession, space, load)
+    """Extract landed pages into a load of chunks and log it.
+
+    All landings are extracted where they are read; the rows of replaced ones are
+    then left out.  Rows are small, so no page text is ever shuffled.
+    """
+    spark, pages = pages.sparkSession, landing.identified(pages)
+    replaced = snapshots.staged(landing.replaced_landings(pages), f"{space.staged}/replaced", load)
+    rows = without_versions(extract_chunk_rows(pages), replaced, ["at"])
+    chunks.write_chunks(rows, space.chunks, load)
+    storage.delete(spark, snapshots.run_path(f"{space.staged}/replaced", load))
+    log_load(spark, space, load)
 
 
 def log_load(spark: SparkSession, space: Workspace, load: str, now: str | None = None) -> None:
@@ -119,39 +126,48 @@ def log_load(spark: SparkSession, space: Workspace, load: str, now: str | None =
 
 
 def consolidate_chunks(spark: SparkSession, space: Workspace, force: bool = False, csv: bool = True) -> str | None:
-    """Merge all chunks into the next catalog run, then drop them.
+    """Merge the stored loads into the next catalog run, then drop these loads.
 
-    Without chunks the catalog is left as it is.  An error fails the job before
-    any chunk is dropped, and merging the same chunks again changes nothing.
+    Loads that arrive meanwhile stay for the next call.  Without chunks the
+    catalog is left as it is.  The names of the loads are noted before the run is
+    written and forgotten after the drop: if a job dies in between, the next one
+    finds the loads of the newest run and drops them without merging them again.
     """
-    stored = chunks.scan_chunks(spark, space.chunks)
+    store = CatalogStore(spark, space.root)
+    chunks.delete_loads(spark, space.chunks, merged_loads(spark, space))
+    names = chunks.loads(spark, space.chunks)
+    stored = chunks.scan_chunks(spark, space.chunks, names)
     if stored is None or stored.isEmpty():
         return None
     run_name = snapshots.new_run()
     # A single load holds each page once.
-    several = len(chunks.loads(spark, space.chunks)) > 1
-    current = current_chunks(stored, f"{space.staged}/stale", run_name) if several else stored
+    current = current_chunks(stored, f"{space.staged}/stale", run_name) if len(names) > 1 else stored
     new = chunks.catalog_rows(chunks.saved_rows(current))
-    mode = "overwrite" if force else "merge"
-    CatalogStore(spark, space.root).merge(new, run_name, mode, csv, f"{space.staged}/new")
-    chunks.delete_chunks(spark, space.chunks)
-    storage.delete(spark, space.staged)
+    for name in names:
+        storage.touch(spark, f"{snapshots.run_path(space.merged, run_name)}/load={name}/_MERGED")
+    store.merge(new, run_name, "overwrite" if force else "merge", csv, f"{space.staged}/new")
+    chunks.delete_loads(spark, space.chunks, names)
+    for stage in ("stale", "new"):
+        storage.delete(spark, snapshots.run_path(f"{space.staged}/{stage}", run_name))
+    storage.delete(spark, space.merged)
     return run_name
 
 
+def merged_loads(spark: SparkSession, space: Workspace) -> list[str]:
+    """The loads that the newest complete catalog run was made of."""
+    run_name = snapshots.latest_run(spark, CatalogStore(spark, space.root).parquet)
+    noted = storage.children(spark, snapshots.run_path(space.merged, run_name)) if run_name else []
+    return [n.removeprefix("load=") for n in noted]
+
+
 def current_chunks(stored: DataFrame, stage: str, run_name: str) -> DataFrame:
     """Stored rows without the page versions that a newer one replaced.
 
-    The replaced versions are found from the keys and written first.  Usually
-    there are none and the rows are used as they are; few are broadcast, many
-    are joined by a shuffle, where a key is one version of one page.
+    The replaced versions are found from the keys and written first, so that the
+    planner knows their size: few are broadcast, many are joined by a shuffle,
+    where a key is one version of one page.
     """
     stale = snapshots.staged(stale_versions(stored, chunks.VERSION), stage, run_name)
-    number = stale.count()
-    if number == 0:
-        return stored
-    if number <= landing.BROADCAST_PAGES:
-        stale = F.broadcast(stale)
     return without_versions(stored, stale, chunks.VERSION)
 
 

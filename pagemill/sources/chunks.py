@@ -71,6 +71,11 @@ def catalog_rows(chunks: DataFrame) -> DataFrame:
     return chunks.select(*CATALOG.names)
 
 
+def delete_loads(spark: SparkSession, root: str, names: list[str]) -> int:
+    """Drop whole loads; returns directories dropped."""
+    return sum(storage.delete(spark, f"{root}/load={n}") for n in names)
+
+
 def delete_chunks(spark: SparkSession, root: str, category_id: int | None = None) -> int:
     """Drop the chunks of one category, or all of them; returns directories dropped."""
     if category_id is None:

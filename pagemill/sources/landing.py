@@ -1,53 +1,61 @@
 """Landed listing pages.
 
-A page may have landed more than once: again in a later batch, or as a copy.
-It counts once, in its newest form.
+A page may have landed more than once: again in a later batch or later in the same
+one, or as a copy.  It counts once, in the form that landed last.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.schemas import LISTING_PAGES
-from pagemill.sources.snapshots import staged
 
-# Page keys, two integers each, that may be broadcast.
-BROADCAST_PAGES = 1_000_000
+# The order of landings of a page: batch, time of its file, and the row's place.
+LANDING = ["batch", "landed", "at"]
+
+
+def _located(pages: DataFrame) -> DataFrame:
+    """Pages with the time at which their file landed and the identity of the landed row."""
+    return pages.select(
+        *LISTING_PAGES.names,
+        F.col("_metadata.file_modification_time").alias("landed"),
+        F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("at"),
+    )
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LISTING_PAGES).parquet(path)
+    return _located(spark.read.schema(LISTING_PAGES).parquet(path))
 
 
 def stream_pages(spark: SparkSession, path: str, files_per_batch: int) -> DataFrame:
-    return spark.readStream.schema(LISTING_PAGES).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return _located(spark.readStream.schema(LISTING_PAGES).option("maxFilesPerTrigger", files_per_batch).parquet(path))
+
+
+def identified(pages: DataFrame) -> DataFrame:
+    """Pages of a table that is no landing directory: its rows are told apart by their place in it."""
+    if "at" in pages.columns:
+        return pages
+    none = F.lit(None).cast("timestamp")
+    return pages.withColumn("landed", none).withColumn("at", F.monotonically_increasing_id())
 
 
 def newest_pages(pages: DataFrame) -> DataFrame:
-    """One row per page.  Copies are combined before the shuffle."""
-    newest = F.max_by(F.struct("batch", "html"), F.struct("batch", F.xxhash64("html"))).alias("_newest")
+    """One row per page, for a few pages: their texts are moved."""
+    newest = F.max_by(F.struct("batch", "html"), F.struct(*LANDING)).alias("_newest")
     one = pages.groupBy("id", "page").agg(newest)
     return one.select("id", "page", F.col("_newest.batch").alias("batch"), F.col("_newest.html").alias("html"))
 
 
-def current_pages(pages: DataFrame, stage: str, run: str) -> DataFrame:
-    """``newest_pages`` that moves only the pages which landed more than once.
+def replaced_landings(pages: DataFrame) -> DataFrame:
+    """(id, page, at) of the landed rows that a later landing of their page replaces.
 
-    Which ones these are is found from the keys alone and written under
-    ``stage``.  Commonly they are none or few: then they are broadcast and the
-    other pages are read without a shuffle.  Beyond ``BROADCAST_PAGES`` all
-    pages go through the aggregation.
+    Found from the keys; no text is read.
     """
-    keys = pages.groupBy("id", "page").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("id", "page")
-    repeated = staged(keys, stage, run)
-    number = repeated.count()
-    if number == 0:
-        return pages
-    if number > BROADCAST_PAGES:
-        return newest_pages(pages)
-    repeated = F.broadcast(repeated)
-    once = pages.join(repeated, ["id", "page"], "left_anti")
-    again = newest_pages(pages.join(repeated, ["id", "page"], "left_semi"))
-    return once.select(*LISTING_PAGES.names).unionByName(again)
+    place = F.struct(*LANDING)
+    keys = pages.select("id", "page", *LANDING)
+    repeated = keys.groupBy("id", "page").agg(F.max(place).alias("_last"), F.count("*").alias("_n")).where(F.col("_n") > 1)
+    repeated = repeated.select(F.col("id").alias("_id"), F.col("page").alias("_page"), "_last")
+    same = F.col("id").eqNullSafe(F.col("_id")) & F.col("page").eqNullSafe(F.col("_page"))
+    return keys.join(repeated, same).where(~place.eqNullSafe(F.col("_last"))).select("id", "page", "at")
 
 
 def pages_at(pages: DataFrame, wanted: list[tuple[int, int]]) -> DataFrame:

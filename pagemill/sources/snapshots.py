@@ -41,8 +41,10 @@ def latest_run(spark: SparkSession, table: str) -> str | None:
 # Quotes are doubled, and a field may hold line breaks.  Empty fields are NULL and
 # quoted empty fields are empty texts; reading tells them apart only when the
 # NULL text is one that no field can be.
-_CSV_WRITE = {"header": True, "escape": '"'}
-_CSV_READ = {"header": True, "escape": '"', "multiLine": True, "nullValue": "\uffff"}
+_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+# A file with line breaks in fields is read by one task, so files are kept small.
+_CSV_WRITE = {**_CSV, "maxRecordsPerFile": 1_000_000}
+_CSV_READ = {**_CSV, "multiLine": True, "nullValue": "\uffff"}
 
 
 def write_run(rows: DataFrame, table: str, run: str, file_format: str = "parquet") -> None:

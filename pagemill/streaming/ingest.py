@@ -6,8 +6,10 @@ loads; it keeps the last row per key, which no streaming deduplication does.
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagemill.plans.harvest import Workspace, consolidate_chunks, store_pages
+from pagemill.schemas import CATEGORY_IDS
 from pagemill.sources import landing
 
 
@@ -15,7 +17,8 @@ def ingest_pages(spark: SparkSession, pages_path: str, space: Workspace, files_p
     """Store all pages that landed since the last call, then stop."""
 
     def store(pages: DataFrame, batch_id: int) -> None:
-        store_pages(pages, space, f"stream-{batch_id:012d}")
+        known = pages.where(F.col("id").isin(CATEGORY_IDS))  # as a batch harvest plans the domain only
+        store_pages(known, space, f"stream-{batch_id:012d}")
 
     query = (
         landing.stream_pages(spark, pages_path, files_per_batch)

@@ -6,7 +6,7 @@ import pytest
 from pagemill.operators import resume
 from pagemill.plans import harvest
 from pagemill.schemas import CATALOG, LISTING_PAGES, METADATA
-from pagemill.sources import chunks, progress, snapshots
+from pagemill.sources import chunks, landing, progress, snapshots
 from pagemill.sources.catalog_store import CatalogStore
 from pagemill.streaming.ingest import ingest_pages, stream_upsert
 from tests import pages as P
@@ -226,23 +226,77 @@ def test_command_line(spark, space, landing_dir, capsys, monkeypatch):
     assert "complete" in capsys.readouterr().out
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_repeated_pages_broadcast_or_aggregated(spark, tmp_path, monkeypatch, limit):
-    from pagemill.sources import landing
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_repeated_pages_joined_or_broadcast(spark, space, landing_dir, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        land(spark, landing_dir, P.category(1, [2, 2, 1]) + P.category(1, [1, 1], batch=3, tag="v2") * 9)
+        harvest.store_pages(landing.read_pages(spark, landing_dir), space, "1")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    stored = chunks.scan_chunks(spark, space.chunks).collect()
+    assert sorted((r.page, r.batch) for r in stored) == [(1, 3), (2, 3), (3, 0)]
+    assert all(("v2" in r.drug) == (r.batch == 3) for r in stored)
 
-    monkeypatch.setattr(landing, "BROADCAST_PAGES", limit)
-    landed = P.category(1, [2, 2, 1]) + P.category(1, [1, 1], batch=3, tag="v2") * 9
-    pages = spark.createDataFrame(landed, LISTING_PAGES).repartition(4)
-    current = landing.current_pages(pages, str(tmp_path / "stage"), "1").collect()
-    assert sorted((r.page, r.batch) for r in current) == [(1, 3), (2, 3), (3, 0)]
-    assert all(("v2" in r.html) == (r.batch == 3) for r in current)
 
+def test_the_later_landing_wins_within_a_batch(spark, space, landing_dir):
+    for tag in ("z", "a", "m"):
+        land(spark, landing_dir, P.category(1, [1], tag=tag))
+        harvest.store_pages(landing.read_pages(spark, landing_dir), space, "1")
+        assert [r.drug for r in chunks.scan_chunks(spark, space.chunks).collect()] == names(1, [1], tag)
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_chunks_of_several_loads(spark, tmp_path, monkeypatch, limit):
-    from pagemill.sources import landing
 
-    monkeypatch.setattr(landing, "BROADCAST_PAGES", limit)
+def test_page_versions_without_batch_are_replaced(spark, space):
+    pages = [(i, p, None, html) for i, p, _, html in P.category(1, [2, 1])]
+    for load in ("1", "2"):
+        harvest.store_pages(spark.createDataFrame(pages, LISTING_PAGES), space, load)
+    harvest.consolidate_chunks(spark, space)
+    assert drugs(spark, space) == sorted(names(1, [2, 1]))
+
+
+def test_page_texts_are_never_shuffled(spark, space, landing_dir):
+    from tests.test_plans import plan
+
+    land(spark, landing_dir, P.category(1, [2, 1]) * 5)
+    pages = landing.read_pages(spark, landing_dir)
+    replaced = landing.replaced_landings(pages)
+    assert "html" not in plan(replaced)
+    staged = snapshots.staged(replaced, f"{space.staged}/replaced", "1")
+    text = plan(harvest.without_versions(harvest.extract_chunk_rows(pages), staged, ["at"]))
+    assert not any("Exchange" in line and "html" in line for line in text.splitlines())
+
+
+def test_a_load_that_arrives_during_a_merge_stays(spark, space, monkeypatch):
+    harvest.store_pages(spark.createDataFrame(P.category(1, [2]), LISTING_PAGES), space, "a")
+    merge = CatalogStore.merge
+
+    def meanwhile(store, *args):
+        merge(store, *args)
+        harvest.store_pages(spark.createDataFrame(P.category(2, [1]), LISTING_PAGES), space, "b")
+
+    monkeypatch.setattr(CatalogStore, "merge", meanwhile)
+    harvest.consolidate_chunks(spark, space)
+    assert chunks.loads(spark, space.chunks) == ["b"]
+    monkeypatch.setattr(CatalogStore, "merge", merge)
+    harvest.consolidate_chunks(spark, space)
+    assert drugs(spark, space) == sorted(names(1, [2]) + names(2, [1]))
+
+
+def test_a_crash_before_the_drop_changes_nothing(spark, space, monkeypatch):
+    rows = P.category(1, [2, 2]) + P.category(2, [2])
+    harvest.store_pages(spark.createDataFrame(rows, LISTING_PAGES), space, "1")
+    drop = chunks.delete_loads
+    monkeypatch.setattr(chunks, "delete_loads", lambda s, root, names: drop(s, root, names) if not names else 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        harvest.consolidate_chunks(spark, space)
+    monkeypatch.setattr(chunks, "delete_loads", drop)
+    before = drugs(spark, space)
+    assert harvest.consolidate_chunks(spark, space) is None
+    assert drugs(spark, space) == before and chunks.loads(spark, space.chunks) == []
+    assert snapshots.read_latest(spark, CatalogStore(spark, space.root).duplicates, CATALOG) is None
+
+
+def test_chunks_of_several_loads(spark, tmp_path):
     space = harvest.Workspace(str(tmp_path / "space"))
     for load, pages in (("1", P.category(1, [2, 2])), ("2", P.category(1, [1, 0], batch=1, tag="v2"))):
         harvest.store_pages(spark.createDataFrame(pages, LISTING_PAGES), space, load)
@@ -261,7 +315,8 @@ def test_check_of_one_category(spark, space, landing_dir):
 
     assert status(1) == (3, 3, "complete")
     assert status(2) == (2, 2, "complete")
-    assert status(99) == (None, 0, "no_local")
+    assert status(12) == (0, 0, "complete")
+    assert status(99) == (None, 0, "no_metadata")
     assert status(None) == (5, 5, "complete")
 
 

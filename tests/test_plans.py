@@ -1,10 +1,14 @@
 import pytest
 
-import __spark_entry__ as driver
+from checks.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "EvalPython", "InPandas", "RDDScan")
-LAZY = sorted(set(driver.queries()) - {"harvest_run", "harvest_check", "stream_upsert"})
+JOBS = {
+    "harvest_run", "harvest_check", "harvest_force", "harvest_crawl_only", "check_category", "consolidate_replay", "relanded_pages",
+    "stream_upsert",
+}
+LAZY = sorted(set(QUERIES) - JOBS)
 
 
 def plan(df):
@@ -13,7 +17,7 @@ def plan(df):
 
 @pytest.mark.parametrize("name", LAZY)
 def test_no_cross_join_and_no_python_worker(spark, name):
-    text = plan(driver.queries()[name](spark, SF))
+    text = plan(QUERIES[name](spark, SF))
     assert not [word for word in UNWANTED if word in text.replace("Scan ExistingRDD", "RDDScan")]
 
 
@@ -63,3 +67,16 @@ def test_log_blocks_keep_their_partitioning(spark):
     # The rows are exchanged once, by category and block, for the window and the join.
     left = text[text.index("SortMergeJoin") : text.rindex(":")]
     assert left.count("Exchange") == 1
+
+
+def test_metadata_reads_named_pages_only(spark):
+    from pagemill.operators import reconcile
+    from pagemill.sources import storage
+
+    from checks import fixtures as fx
+
+    path = storage.shared_dir(spark)
+    fx.listing_pages(spark, SF).write.parquet(path)
+    metadata = reconcile.crawl_metadata(reconcile.category_domain(spark), spark.read.parquet(path))
+    scans = [line for line in plan(metadata).splitlines() if "PushedFilters" in line]
+    assert scans and all("EqualTo(page" in line for line in scans)

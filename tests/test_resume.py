@@ -3,7 +3,7 @@ import random
 import pytest
 
 from pagemill.operators import resume as R
-from pagemill.operators.chat import assemble_chat
+from pagemill.operators.chat import assemble_chat, message_table
 from pagemill.schemas import METADATA, PROGRESS
 
 
@@ -56,13 +56,32 @@ def test_prefix_ends_at_the_first_empty_page(spark):
     assert sorted(tuple(r) for r in R.contiguous_prefix(df).collect()) == [(1, 1, 3), (2, 1, 1), (2, 2, 1)]
 
 
-@pytest.mark.parametrize("part", [1, 4, 64])
-def test_chat_parts_hold_every_message_in_order(spark, part):
+def test_a_conversation_is_one_row_with_every_message(spark):
     import json
 
     turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"é\n{c}-{t}") for c, n in ((1, 150), (2, 1)) for t in range(n)]
     df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").repartition(6)
-    parts = sorted(assemble_chat(df, part).collect(), key=lambda r: (r.conv_id, r.part))
-    assert max(r.n_messages for r in parts) <= part
-    joined = [(r.conv_id, m["role"], m["content"]) for r in parts for m in json.loads(r.messages)]
+    rows = sorted(assemble_chat(df).collect(), key=lambda r: r.conv_id)
+    assert [r.n_messages for r in rows] == [150, 1]
+    joined = [(r.conv_id, m["role"], m["content"]) for r in rows for m in json.loads(r.messages)]
     assert joined == [(c, role, text) for c, t, role, text in turns]
+    listed = message_table(df).orderBy("conv_id", "turn").collect()
+    assert [json.loads(r.message) for r in listed] == [{"role": role, "content": text} for _, _, role, text in turns]
+
+
+def test_missing_content_is_null_in_json(spark):
+    df = spark.createDataFrame([(1, 0, "u", None)], "conv_id bigint, turn bigint, role string, text string")
+    assert assemble_chat(df).first().messages == '[{"role":"u","content":null}]'
+
+
+def test_prefix_of_any_category(spark):
+    rows = [(i, p, n) for i in (1, 13, None) for p, n in ((1, 5), (2, 0), (3, 5))]
+    df = spark.createDataFrame(rows, "id int, page int, n bigint")
+    assert {tuple(r) for r in R.contiguous_prefix(df).collect()} == {(1, 1, 5), (13, 1, 5), (None, 1, 5)}
+
+
+def test_log_entries_without_key_or_position_stay(spark):
+    rows = [(1, 10, 5), (None, 11, 5), (None, 12, 5), (1, None, 5)]
+    df = spark.createDataFrame(rows, "category_id int, seq bigint, current_page int")
+    assert R.previous_in_log(df, "category_id", "seq", "current_page").count() == 4
+    assert [tuple(r) for r in R.stalled_pages(df).where("category_id is null").collect()] == [(None, 12, 5)]

@@ -47,3 +47,9 @@ def test_first_line_and_url(spark):
     assert values(spark, ["a\nb", "a\r\nb", "a"], X.first_line) == ["a", "a", "a"]
     url = values(spark, ["7"], lambda c: X.category_url(c.cast("int")))[0]
     assert url.endswith("?categoriasRegulatorias=7")
+
+
+def test_entities_of_any_length(spark):
+    texts = ["&#00000065;", "&#x0000000041;", "&#150;", "&#129;", "a\uffffb &#8364;", "&#99999999999999999999;", "&#xFFFFFFFFFFFFFFFFFF;", "&#0;", "& &amp;lt; &"]
+    wanted = ["A", "A", "\u2013", "\x81", "a\uffffb \u20ac", "\ufffd", "\ufffd", "\ufffd", "& &lt; &"]
+    assert values(spark, texts, X.decode_entities) == wanted
