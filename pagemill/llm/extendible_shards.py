@@ -80,7 +80,7 @@ def directory(rows: DataFrame, limits: Limits, scratch: Scratch) -> DataFrame:
         F.lit(total[0]).cast("long").alias("_bytes"), F.lit(total[1]).cast("long").alias("_n"),
     )
     if total[0] <= limits.shard_bytes or total[1] == 1:
-        return root
+        return scratch.save(root, "buckets-0")
     bottom = min(guess + AHEAD, 2 * BITS)
     while not done:
         level = at_depth(active, bottom).groupBy("_p1", "_p2").agg(F.sum("_bytes").alias("_bytes"), F.count("*").alias("_n"))
