@@ -1,6 +1,8 @@
 """DuckDB SQL for the registered queries, over the driver tables only."""
 
-_URL = "https://consultas.anvisa.gov.br/#/bulario/q/?categoriasRegulatorias="
+from pagemill.schemas import CATEGORY_URL
+
+_URL = CATEGORY_URL.removesuffix("%s")
 
 # Fixture views; a query names the ones it needs.
 _VIEWS = {

@@ -35,7 +35,8 @@ _NAMED = "str_to_map('{}', '\\u0001', '\\u0002')".format(
 )
 _DIGITS = "ltrim('0', if(p rlike '^&#[xX]', substring(p, 4, length(p) - 4), substring(p, 3, length(p) - 3)))"
 # Longer numbers are out of range; none of them reaches the conversion.
-_CODE = f"cast(case when length({_DIGITS}) > 7 then '0' when p rlike '^&#[xX]' then conv({_DIGITS}, 16, 10) else {_DIGITS} end as int)"
+_CODE = f"""cast(case when length({_DIGITS}) > 7 then '0'
+    when p rlike '^&#[xX]' then conv(concat('0', {_DIGITS}), 16, 10) else concat('0', {_DIGITS}) end as int)"""
 # References to the control characters 128 to 159 mean those of code page 1252, as HTML has it.
 _PAGE_1252 = {c: t for c in range(128, 160) if (t := bytes([c]).decode("cp1252", "ignore"))}
 _CONTROLS = "str_to_map('{}', '\\u0001', '\\u0002')".format("\\u0001".join(f"{c}\\u0002\\u{ord(t):04x}" for c, t in _PAGE_1252.items()))
