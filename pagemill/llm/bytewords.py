@@ -49,11 +49,23 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def hash_segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
-    """A hash of the bytes of each segment; ``other`` gives a second one, independent of the first."""
-    n = len(data)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((_OTHER_BYTE if other else _BYTE)[data] * _table("up", _BASE, n), out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * _table("down", _BASE_INVERSE, n + 1)[starts])
+    """A hash of the bytes of each segment; ``other`` gives a second one, independent of the first.
+
+    Segments are in order.  They are taken in blocks of about CHUNK_BYTES, so a long
+    text needs no more memory than a short one, but for a segment that is longer.
+    """
+    values, out, k = _OTHER_BYTE if other else _BYTE, np.empty(len(starts), np.uint64), 0
+    while k < len(starts):
+        first = int(starts[k])
+        last = max(k + 1, int(np.searchsorted(ends, first + CHUNK_BYTES, "right")))
+        block = data[first : int(ends[last - 1])]
+        n = len(block)
+        prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum(values[block] * _table("up", _BASE, n), out=prefix[1:])
+        begins = starts[k:last] - first
+        out[k:last] = (prefix[ends[k:last] - first] - prefix[begins]) * _table("down", _BASE_INVERSE, n + 1)[begins]
+        k = last
+    return mix(out)
 
 
 @dataclass

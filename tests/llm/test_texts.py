@@ -48,6 +48,13 @@ def test_words_of_chunks(size):
     assert len(by_hash) == len(set(by_hash.values()))
 
 
+def test_blocks_of_a_long_text_hash_alike(monkeypatch):
+    text = pa.array([" ".join(odd_texts(400))])
+    (whole,) = [c.word_hashes() for c in bw.chunks(text, max_bytes=10)]
+    monkeypatch.setattr(bw, "CHUNK_BYTES", 37)
+    assert (next(iter(bw.chunks(text))).word_hashes() == whole).all()
+
+
 def test_segment_cache_forgets_and_stays_right():
     cache = SegmentCache(lambda found: [[len(s), *s.encode()] for s in found], remembered=50)
     rng = random.Random(2)
