@@ -7,7 +7,18 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import cover_tree, extendible_shards, jaccard_join, neighbour_vote, piece_transducer, risk_rules, soft_mixing, suffix_dedup, token_frames, tool_chat
+from pagemill.llm import (
+    cover_tree,
+    extendible_shards,
+    jaccard_join,
+    neighbour_vote,
+    piece_transducer,
+    risk_rules,
+    soft_mixing,
+    suffix_dedup,
+    token_frames,
+    tool_chat,
+)
 from pagemill.llm.common import Scratch, ship_package, table
 
 
