@@ -6,27 +6,23 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked with the smallest neighbour of that node."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """A node and its smaller neighbours are linked with the smallest of them."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b")))
+def _downward(edges: DataFrame) -> DataFrame:
+    return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); the component is its smallest node.
 
-    Each round costs two joins on the edges; the rounds grow with the logarithm
-    of the longest path.  A node with very many neighbours is one row per input
-    partition in the minima, and its edges are split by adaptive execution.
+    A round links, first, every larger neighbour of a node with its smallest
+    neighbour (or itself), then every node and its smaller neighbours with the
+    smallest of them.  Each is a join of the edges with the minima.  The rounds
+    grow with the logarithm of the longest path.  A node with very many neighbours
+    is one row per input partition in the minima; these are written, so that the
+    join is one of two tables, which adaptive execution splits at such a node.
     """
     now = scratch.save(edges.where("a <> b").select("a", "b").distinct(), f"{name}-0")
     mark, step = None, 0
@@ -35,7 +31,14 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if mark == tuple(seen):
             break
         mark, step = tuple(seen), step + 1
-        now = scratch.save(_small_star(_large_star(now).distinct()).distinct(), f"{name}-{step}")
+        both = _both_ways(now)
+        least = scratch.save(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{name}-least")
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = scratch.save(large.distinct(), f"{name}-large")
+        down = _downward(large)
+        least = scratch.save(down.groupBy("a").agg(F.min("b").alias("m")), f"{name}-least-down")
+        moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = scratch.save(moved.union(least.select("a", F.col("m").alias("b"))).distinct(), f"{name}-{step}")
         scratch.drop(f"{name}-{step - 1}")
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
