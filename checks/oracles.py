@@ -160,7 +160,12 @@ ORACLES = {
     "rows_per_category": _with(
         ["page_counts"], "select id, count(*) as pages, sum(n)::bigint as size from page_counts group by id"
     ),
-    "volume_estimate": _with(["sizes"], "select id, last_page, rows as size from sizes"),
+    "volume_estimate": _with(
+        ["found_counts"],
+        """select id, max(page) as last_page,
+             ((max(page) - 1) * coalesce(max(n) filter (where page = 1), 0) + arg_max(n, page))::bigint as size
+           from found_counts group by id""",
+    ),
     "crawl_metadata": _with(["measured"], "select id, items_page, last_page, size from measured"),
     "empty_categories": _with(["measured"], "select id from measured where size = 0"),
     "crawled_filter": _with(["crawled"], "select * from crawled where id = 2"),
