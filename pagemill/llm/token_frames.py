@@ -17,10 +17,13 @@ documents of their own; a text longer than a frame's measure has a frame to itse
 an empty table gives no files and reads back as no rows.
 """
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +58,8 @@ class Encoder:
 
     Its pattern never joins what is on both sides of a space or a lone line end
     before a visible character, nor a letter with a sign after it but an apostrophe,
-    so texts are cut there.
+    so texts are cut there.  The string of an added token in a text is that token, as
+    by the library's default: a segment by itself, which what is around it never joins.
     """
 
     #: New segments that are encoded in one text.
@@ -65,9 +69,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache = SegmentCache(self._encode)
+        added = json.loads(definition).get("added_tokens") or []
+        for t in added:
+            if t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]):
+                raise ValueError(f"added token {t['content']!r} depends on the space around it or in it")
+        contents = sorted((t["content"].encode() for t in added), key=len, reverse=True)  # the longest wins
+        self.added = re.compile(b"|".join(map(re.escape, contents))) if contents else None
         lengths = {i: len(token) for token, i in self.tokenizer.get_vocab().items()}  # a character is a byte
+        lengths |= {t["id"]: len(t["content"].encode()) for t in added}
         self.token_bytes = np.array([lengths.get(i, 0) for i in range(max(lengths) + 1)], np.int64)
         self.letter = np.zeros(256, bool)
         self.letter[[*range(65, 91), *range(97, 123)]] = True
@@ -111,6 +121,13 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
+    def _marks(self, chunk: bw.Chunk) -> np.ndarray:
+        """Begin and end of each added token in the texts; none reaches from one text into the next."""
+        body, found = chunk.data.tobytes(), []
+        if self.added and self.added.search(body):
+            found = [m.span() for a, b in pairwise(chunk.offsets.tolist()) for m in self.added.finditer(body, a, b)]
+        return np.array(found, np.int64).reshape(-1, 2)
+
     def encode_chunk(self, chunk: bw.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Bounds by text, and ids."""
         data = chunk.data
@@ -122,6 +139,16 @@ class Encoder:
             begins[1:-2] |= line
             begins[2:-1] |= line
             begins[1:-1] |= self.letter[data[:-1]] & self.sign[data[1:]]
+        marks = self._marks(chunk)
+        if len(marks):
+            depth = np.zeros(len(begins), np.int8)
+            depth[marks[:, 0]] += 1
+            depth[marks[:, 1]] -= 1
+            begins &= np.cumsum(depth, dtype=np.int8) == 0
+            # A space before a token ends a text, and stays with spaces before it.
+            last = marks[:, 0] - 1
+            begins[last[(last >= 0) & (data[last] == 32)]] = False
+            begins[marks] = True
         begins[chunk.offsets[:-1]] = True
         begins[-1] = False
         return self.cache.encode_all(data, np.flatnonzero(begins), chunk.offsets)

@@ -277,6 +277,24 @@ def test_tokens_equal_the_library():
     assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path, rng, mark = tokenizer_path("byte_bpe_50k.json"), random.Random(12), "<|endoftext|>"
+    parts = [*ODD, mark, mark, mark, mark, "<|", "|>", "<|endoftext|", "endoftext"]
+    texts = ["a <|endoftext|> b", "a  " + mark, mark, "b" + mark + mark + "'s", "<|endo", "ftext|>", "", f"a\n{mark}\nb", f" {mark} "]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 50))) for _ in range(4000)]
+    tokenizer = Tokenizer.from_file(path)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    for size in (300, 4000, 1 << 20):
+        own, got = token_frames.Encoder(open(path).read()), []
+        for c in bw.chunks(pa.array(texts), max_bytes=size):
+            bounds, ids = own.encode_chunk(c)
+            got += [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(len(c))]
+        assert got == want
+
+
 def test_reader_decompresses_only_what_is_asked():
     import io
 
