@@ -34,7 +34,8 @@ from pagemill.llm.components import components, forest
 BLOCK, LEAF, SAMPLE = 1024, 48, 256
 #: Upper nodes of one label, and of all labels together; further labels are one node.
 NODES, ALL_NODES = 64, 1 << 14
-SLACK = 1e-9
+#: Above the noise of a chord near 0: the root of a product's error, some 1e-13 at most.
+SLACK = 1e-6
 
 
 @dataclass
@@ -52,7 +53,10 @@ def chord(cosine: np.ndarray) -> np.ndarray:
 
 
 def build(x: np.ndarray, points: np.ndarray, reach: float = 1.0) -> Node:
-    """The cover tree of ``points``: children are more than ``reach`` apart, which halves by level."""
+    """The cover tree of ``points``: children are more than ``reach`` apart, which halves by level.
+
+    Points of nearly one direction, closer than chords can tell, are a leaf of any number.
+    """
     center = int(points[0])
     away = chord(x[points] @ x[center])
     node = Node(center, float(away.max()), points, [])
@@ -63,6 +67,7 @@ def build(x: np.ndarray, points: np.ndarray, reach: float = 1.0) -> Node:
     rest = points
     while len(rest):
         near = chord(x[rest] @ x[rest[0]]) <= reach
+        near[0] = True  # whatever its own product with itself
         node.children.append(build(x, rest[near], reach / 2) if near.sum() > 1 else Node(int(rest[0]), 0.0, rest[:1], []))
         rest = rest[~near]
     return node

@@ -1,6 +1,7 @@
 """Links and passages against brute force."""
 
 import random
+import signal
 
 import numpy as np
 import pytest
@@ -240,6 +241,39 @@ def test_vectors_in_cells(spark, monkeypatch):
     assert pairs == want
 
 
+def one_direction(dim, seed):
+    """Some hundred copies of a vector at different lengths, in single precision, and a few others."""
+    rng = np.random.default_rng(seed)
+    x = (rng.normal(size=dim) * rng.uniform(0.5, 2, (600, 1))).astype(np.float32)
+    return np.concatenate([x, rng.normal(size=(20, dim)).astype(np.float32), x[:1] * np.float32(2) ** np.arange(-40, 40)[:, None]])
+
+
+@pytest.mark.parametrize("dim", [2, 8, 64, 768])
+def test_trees_of_one_direction_end(dim):
+    def stop(*_):
+        raise TimeoutError("the tree does not end")
+
+    old = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(60)
+    try:
+        for seed in range(10):
+            x = one_direction(dim, seed).astype(np.float64)
+            units = x / np.sqrt((x * x).sum(1, keepdims=True))
+            found = cover_tree.Links(np.ones(len(x), np.int64))
+            tree = cover_tree.build(units, np.arange(len(x)))
+            cover_tree.dual(units, tree, tree, 0.93, found)
+            linked = units @ units.T >= 0.93
+            assert found.counts.tolist() == (linked.sum(1) - linked.diagonal()).tolist()
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, old)
+
+
+def test_vectors_of_one_direction(spark):
+    rows = [(i, [float(v) for v in x], 1) for i, x in enumerate(one_direction(64, 1))]
+    assert near_of(vectors(spark, rows)) == near_by_force(rows)
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(500, 600 + i) for i in range(50)] + [(7, 7), (700, 700)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark), "t").collect())
