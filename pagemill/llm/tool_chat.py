@@ -12,8 +12,11 @@ it is DataFrame expressions; no conversation is gathered, so its length has no b
 The order of a conversation's rows is (order_turn, order_hops, turn, idx).
 
 Defined results: repeated rows are one; of several calls (results) with one identifier
-the first by turn counts, and ``n_calls`` (``n_results``) says how many there were.  A result
-without a call is a row of its own.  Texts that are NULL, empty or no JSON of this form are
+the first by turn counts, and ``n_calls`` (``n_results``) says how many there were; the
+others are rows with the status ``repeated identifier``.  A result without a call is a row
+of its own.  What a message with calls or a result holds besides (its content, further
+fields of its own or of its calls, but no JSON nulls) is a plain message with a JSON
+object of these fields; calls in it carry their identifier.  Texts that are NULL, empty or no JSON of this form are
 plain messages, also those of a tool, and so are calls without an identifier.  A named call
 that is missing is reported; calls in a circle, and those that wait for them, are reported
 and keep their turn.  NULL conversations are one conversation, a NULL turn comes first.
@@ -55,6 +58,30 @@ def _json(**columns: Column) -> Column:
     return F.to_json(F.struct(*(columns[k].alias(k) for k in sorted(columns))), {"ignoreNullFields": "false"})
 
 
+def _fields(variant: Column, *without: str) -> Column:
+    """The fields of an object but those named and JSON nulls; NULL for what is no object."""
+    fields = F.try_variant_get(variant, "$", "map<string,variant>")
+    return F.map_filter(fields, lambda k, v: ~k.isin(*without) & v.isNotNull() & ~F.is_variant_null(v))
+
+
+def _call_rest(call: Column) -> Column:
+    """What a call holds besides its known fields, and ``after`` if it is no list of names."""
+    odd = F.try_variant_get(call, "$.after", "array<string>").isNull()
+    return F.when(odd, _fields(call, "id", "name", "arguments")).otherwise(_fields(call, "id", "name", "arguments", "after"))
+
+
+def _rest(rows: DataFrame, named: Column) -> DataFrame:
+    """Messages of what calling and answering messages hold besides."""
+    own = F.when(F.col("answers").isNotNull(), _fields(F.col("body"), "tool_call_id", "content")).otherwise(_fields(F.col("body"), "tool_calls"))
+    more = F.filter("calls", lambda c: F.try_variant_get(c, "$.id", "string").isNotNull() & (F.size(_call_rest(c)) > 0))
+    of_call = lambda c: F.map_concat(F.create_map(F.lit("id"), F.try_variant_get(c, "$.id", "variant")), _call_rest(c))
+    in_calls = F.create_map(F.lit("tool_calls"), F.to_variant_object(F.transform("more", of_call)))
+    held = rows.where(F.col("answers").isNotNull() | F.coalesce(named, F.lit(False))).withColumn("own", own).withColumn("more", more)
+    fields = F.when(F.size("more") > 0, F.map_concat("own", in_calls)).otherwise(F.col("own"))
+    held = held.where((F.size("own") > 0) | (F.size("more") > 0))
+    return held.select("conv_id", "turn", "role", canonical(F.to_variant_object(fields)).alias("text"))
+
+
 def parse(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls (KEY, turn, idx, name, arguments, after), results (KEY, turn, content) and plain messages."""
     rows = messages.select(F.col("conv_id").cast("string"), F.col("turn").cast("long"), "role", "text")
@@ -72,18 +99,21 @@ def parse(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "conv_id", F.try_variant_get("c", "$.id", "string").alias("call_id"), "turn", "idx",
         F.try_variant_get("c", "$.name", "string").alias("name"), raw.alias("arguments"),
         F.coalesce(F.try_variant_get("c", "$.after", "array<string>"), F.array().cast("array<string>")).alias("after"),
+        F.when(F.coalesce(F.size(_fields(F.col("c"), "name", "arguments")) != 0, F.lit(True)), canonical(F.col("c"))).alias("odd"),
     )
     results = rows.where("answers is not null").select(
         "conv_id", F.col("answers").alias("call_id"), "turn", canonical(F.try_variant_get("body", "$.content", "variant")).alias("content")
     )
     named = F.exists("calls", lambda c: F.try_variant_get(c, "$.id", "string").isNotNull())
     plain = rows.where(F.col("answers").isNull() & ~F.coalesce(named, F.lit(False))).select("conv_id", "turn", "role", "text")
+    known = _json(arguments=F.col("arguments"), name=F.col("name"))
     nameless = calls.where("call_id is null").select(
-        "conv_id", "turn", F.lit("assistant").alias("role"), _json(arguments=F.col("arguments"), name=F.col("name")).alias("text")
+        "conv_id", "turn", F.lit("assistant").alias("role"), F.coalesce("odd", known).alias("text")
     )
     whole = rows.where(F.coalesce(named, F.lit(False))).select("conv_id", "turn")
     nameless = nameless.join(whole.distinct(), [nameless["conv_id"].eqNullSafe(whole["conv_id"]), nameless["turn"].eqNullSafe(whole["turn"])], "left_semi")
-    return calls.where("call_id is not null"), results, plain.unionByName(nameless).distinct()
+    others = plain.unionByName(nameless).unionByName(_rest(rows, named))
+    return calls.where("call_id is not null").drop("odd"), results, others.distinct()
 
 
 def link(calls: DataFrame, results: DataFrame) -> DataFrame:
@@ -102,6 +132,30 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+def repeated(calls: DataFrame, results: DataFrame, linked: DataFrame) -> DataFrame:
+    """Rows as of ``link`` for the calls and results that are not the first of their identifier."""
+    call, result = F.struct("turn", "idx", "name", "arguments", "after"), F.struct("turn", "content")
+
+    def further(rows: DataFrame, first: DataFrame, own: Column) -> DataFrame:
+        rows = rows.distinct().withColumn("own", own)
+        same = [rows["conv_id"].eqNullSafe(first["conv_id"]), rows["call_id"] == first["call_id"], ~rows["own"].eqNullSafe(first["first"])]
+        return rows.join(first, same).select(rows["conv_id"], rows["call_id"], "own", "n_calls", "n_results")
+
+    both = ["n_calls", "n_results"]
+    firsts = linked.where("n_calls > 1").select(*KEY, call.alias("first"), *both)
+    answers = linked.where("n_results > 1").select(*KEY, F.struct(F.col("result_turn").alias("turn"), "content").alias("first"), *both)
+    none = lambda kind: F.lit(None).cast(kind)
+    more_calls = further(calls, firsts, call).select(
+        *KEY, "own.turn", "own.idx", "own.name", "own.arguments", "own.after", *both, none("long").alias("result_turn"), none("string").alias("content"),
+        F.lit(True).alias("is_call"),
+    )
+    more_results = further(results, answers, result).select(
+        *KEY, none("long").alias("turn"), none("int").alias("idx"), none("string").alias("name"), none("string").alias("arguments"),
+        none("array<string>").alias("after"), *both, F.col("own.turn").alias("result_turn"), "own.content", F.lit(False).alias("is_call"),
+    )
+    return more_calls.unionByName(more_results)
+
+
 def order(calls: DataFrame, scratch: Scratch) -> DataFrame:
     """(KEY, order_turn, order_hops, missing, circle) of linked calls; only what is out of order moves."""
     conv = F.coalesce(F.concat(F.lit("c"), F.col("conv_id")), F.lit("n")).alias("conv")
@@ -182,17 +236,21 @@ def errors(tools: dict[str, Tool]) -> Column:
 
 
 def format_chat(messages: DataFrame, tools: dict[str, Tool]) -> DataFrame:
-    """One row for each plain message, call and result without a call, with its canonical JSON."""
+    """One row for each plain message, call, result without a call and repeated identifier, with its canonical JSON."""
     scratch = Scratch(messages.sparkSession)
     calls, results, plain = parse(messages)
     linked = scratch.save(link(calls, results), "linked")
     placed = order(linked, scratch)
     safe = [linked["conv_id"].eqNullSafe(placed["conv_id"]), linked["call_id"] == placed["call_id"]]
     rows = linked.join(placed, safe, "left").select(*(linked[c] for c in linked.columns), "order_turn", "order_hops", "missing", "circle")
+    rows = rows.withColumn("is_call", F.col("n_calls") > 0).withColumn("again", F.lit(False))
+    further = repeated(calls, results, linked).withColumn("order_turn", F.col("turn")).withColumn("again", F.lit(True))
+    rows = further.unionByName(rows, allowMissingColumns=True)
     wrong = errors(tools)
-    is_call = F.col("n_calls") > 0
+    is_call = F.col("is_call")
     status = (
-        F.when(~is_call, "no call")
+        F.when(F.col("again"), "repeated identifier")
+        .when(~is_call, "no call")
         .when(F.col("circle"), "circle")
         .when(F.size("errors") > 0, "invalid")
         .when(F.col("missing").isNotNull(), "missing dependency")

@@ -190,6 +190,31 @@ def test_tool_calls(spark):
     assert out.where("kind = 'message'").count() == 6
 
 
+def test_no_text_of_a_tool_message_is_lost(spark):
+    f = {"id": "x", "name": "f", "arguments": {"n": 1}}
+    rows = [
+        ("a", 1, "assistant", json.dumps({"content": "I look it up", "refusal": None, "tool_calls": [f | {"type": "function"}, {"name": "g", "note": "n"}]})),
+        ("a", 2, "tool", json.dumps({"tool_call_id": "x", "content": "first", "is_error": True})),
+        ("a", 2, "tool", json.dumps({"tool_call_id": "x", "content": "second"})),
+        ("a", 2, "tool", json.dumps({"tool_call_id": "x", "content": "second"})),
+        ("a", 3, "assistant", call(f | {"arguments": {"n": "2"}})),
+        (None, 4, "assistant", call(f, f | {"arguments": {"n": 3}})),
+        ("b", 0, "assistant", json.dumps({"content": None, "tool_calls": [f]})),
+    ]
+    out = tool_chat.format_chat(spark.createDataFrame(rows, MESSAGES), TOOL).collect()
+    texts = sorted(json.loads(r.json)["text"] for r in out if r.kind == "message")
+    assert texts == [
+        '{"content":"I look it up","tool_calls":[{"id":"x","type":"function"}]}', '{"is_error":true}', '{"name":"g","note":"n"}',
+    ]
+    again = sorted(((r.conv_id or "", r.kind, r.turn, r.idx, r.json, r.errors) for r in out if r.status == "repeated identifier"))
+    assert again == [
+        ("", "call", 4, 1, '{"after":[],"arguments":{"n":3},"id":"x","name":"f","result":null}', ""),
+        ("a", "call", 3, 0, '{"after":[],"arguments":{"n":"2"},"id":"x","name":"f","result":null}', "n is no integer"),
+        ("a", "result", 2, 0, '{"id":"x","result":"second"}', ""),
+    ]
+    assert len(out) == 9 and sum(r.status in ("linked", "no result") for r in out) == 3
+
+
 def test_tool_order_of_random_graphs(spark):
     rng, rows, after = random.Random(3), [], {}
     for c in range(6):
