@@ -29,13 +29,15 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _table(name: str, base: np.uint64, n: int) -> np.ndarray:
-    """Powers of ``base``, kept between batches and grown when a text is longer."""
+    """Powers of ``base``; those for a chunk are kept, those for a longer text are not."""
     have = _powers.get(name)
     if have is None or len(have) < n:
         size = max(n, CHUNK_BYTES + 1)
-        grown = np.full(size, base, np.uint64)
-        grown[0] = 1
-        have = _powers[name] = np.multiply.accumulate(grown)
+        have = np.full(size, base, np.uint64)
+        have[0] = 1
+        np.multiply.accumulate(have, out=have)
+        if size == CHUNK_BYTES + 1:
+            _powers[name] = have
     return have[:n]
 
 

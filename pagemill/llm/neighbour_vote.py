@@ -30,6 +30,8 @@ SHAPES, WORDS, MARKS = 1024, 1024, 4
 FEATURES = SHAPES + WORDS + MARKS
 #: Share of each block in the squared length of a vector.
 BLOCK_WEIGHTS = (0.5, 0.1, 0.4)
+#: Documents whose products with the sample are in memory together.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -140,19 +142,31 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def votes(model: Model, x: np.ndarray) -> np.ndarray:
     """Scores of feature rows against every sample row."""
     out = np.full(len(x), model.prior)
-    some = np.flatnonzero(x.any(1))
-    if not len(some) or not len(model.vectors):
+    if not len(model.vectors):
         return out
-    near = np.maximum(_unit((x[some] * model.scale) @ model.basis) @ model.vectors.T, 0)
-    k = min(model.settings.neighbours, near.shape[1])
-    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    weight = np.take_along_axis(near, best, 1).astype(np.float64) ** model.settings.sharpness
-    total = weight.sum(1)
-    share = (weight * model.labels[best]).sum(1) / np.where(total > 0, total, 1)
-    out[some] = np.where(total > 0, np.clip(share, 0, 1), model.prior)
+    k = min(model.settings.neighbours, len(model.vectors))
+    nonblank = np.flatnonzero(x.any(1))
+    for first in range(0, len(nonblank), BLOCK):
+        some = nonblank[first : first + BLOCK]
+        near = np.maximum(_unit((x[some] * model.scale) @ model.basis) @ model.vectors.T, 0)
+        best = _nearest(near, k)
+        weight = np.take_along_axis(near, best, 1).astype(np.float64) ** model.settings.sharpness
+        total = weight.sum(1)
+        share = (weight * model.labels[best]).sum(1) / np.where(total > 0, total, 1)
+        out[some] = np.where(total > 0, np.clip(share, 0, 1), model.prior)
     return out
 
 
+def _nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` largest values of each row; of equal ones at the end, the first."""
+    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(near, best, 1).min(1)
+    tied = np.flatnonzero((near >= least[:, None]).sum(1) > k)  # more columns than k reach the least of them
+    for i in tied:
+        best[i] = np.argsort(-near[i], kind="stable")[:k]
+    return best
+
+
 def training_rows(documents: DataFrame, labels: DataFrame, settings: Settings) -> tuple[DataFrame, dict[int, float]]:
     """At most ``per_label`` documents of each label, chosen by hash, and the share of each label.
 
@@ -199,8 +213,11 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings | None = Non
     return fit_arrays(x, np.array([r[1] for r in got]), share, settings)
 
 
-def score(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all) with ``score`` and ``predicted`` for every row; columns of these names are replaced."""
+def score(documents: DataFrame, model: Model, keep: list[str] | None = None, least: float = 0.0) -> DataFrame:
+    """The columns ``keep`` (all) with ``score`` and ``predicted`` for every row; columns of these names are replaced.
+
+    Rows that score less than ``least`` are left out, before they go back from Python.
+    """
     kept = [c for c in keep or documents.columns if c not in ("score", "predicted")]
     rows = documents.select(*dict.fromkeys([*kept, "text"]))
     held = documents.sparkSession.sparkContext.broadcast(model)
@@ -208,9 +225,12 @@ def score(documents: DataFrame, model: Model, keep: list[str] | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [votes(held.value, features(chunk)) for chunk in bw.chunks(batch["text"])]
-            got = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(got, pa.float64())], names=[*kept, "score"])
+            for chunk in bw.chunks(batch["text"]):
+                got = votes(held.value, features(chunk))
+                part = batch.slice(chunk.first, len(chunk))
+                if least > 0 and not (stay := got >= least).all():
+                    part, got = part.filter(pa.array(stay)), got[stay]
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), pa.array(got, pa.float64())], names=[*kept, "score"])
 
     scored = rows.mapInArrow(run, out)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -1,23 +1,30 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The vocabulary compiles to three machines.  The normaliser puts a space before the
-text and writes spaces as U+2581.  The piece machine has an arc for each piece; its
-state is the last piece, and the weight of going on with another one is 0 if merging
-the two pieces alone leaves exactly these two, and infinite otherwise.  The fallback
-machine has an arc for each character outside the vocabulary, which gives its bytes.
-Composed with an input this is a lattice over its characters, and its shortest path
-in the tropical semiring is the encoding.  For a vocabulary of merges that path is
-unique and equals the result of merging: no merge crosses the border of two neighbours
-of the result, so merging any two neighbours alone gives the same border.
+The vocabulary compiles to three machines.  The normaliser has one state: it writes a
+space as U+2581 and every other character as it is (and a space before a text).  The
+piece machine is a trie whose arcs read characters and give a piece's id where one ends.
+The fallback machine reads one character that is no piece and gives its bytes' ids.
+``compose`` joins an input with all three to a lattice of arcs over its characters, and
+``relax`` finds its shortest path in the tropical semiring: weights are added along a
+path, and of the paths into a state the least stays.
+
+Of a vocabulary of scored pieces an arc weighs the piece's negated score, and a state is
+a place.  Of a vocabulary of merges a state is a place and the last piece, and going on
+with another piece weighs 0 if merging the two pieces alone leaves exactly these two,
+else infinity.  The path of finite weight is then unique and equals the result of
+merging: no merge crosses the border of two neighbours of the result, so merging any two
+neighbours alone gives the same border.
 
 Paths are independent on both sides of a place that no piece spans, so texts are cut
 there and every different segment of a batch is composed once.
 
 Defined results: NULL and empty texts have no pieces; U+2581 in a text decodes to a
-space, as in the library; ids outside the vocabulary raise.  Only merge vocabularies
-with byte fallback and without a character map are accepted.
+space, as in the library; ids outside the vocabulary raise; of paths of one weight the
+one with the longer piece at the end stays.  Only vocabularies with byte fallback and
+without a character map are accepted.
 """
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,9 +37,11 @@ from pagemill.llm import bytewords as bw
 from pagemill.llm.segments import SegmentCache, ragged
 
 SPACE = "▁"
-NORMAL, BYTE, BPE = 1, 6, 2
+NORMAL, BYTE, UNIGRAM, BPE = 1, 6, 1, 2
+#: What a character outside the pieces weighs more than the worst piece, as in the library.
+OUTSIDE = 10.0
 #: Pairs of pieces that a worker remembers; then it begins anew.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 
 
 @dataclass
@@ -43,6 +52,7 @@ class Vocabulary:
     scores: list[float]
     kinds: list[int]
     dummy_prefix: bool = True
+    merges: bool = True
 
 
 def read_vocabulary(path: str) -> Vocabulary:
@@ -52,10 +62,16 @@ def read_vocabulary(path: str) -> Vocabulary:
     with open(path, "rb") as file:
         model.ParseFromString(file.read())
     spec, trainer = model.normalizer_spec, model.trainer_spec
-    if trainer.model_type != BPE or not trainer.byte_fallback or spec.precompiled_charsmap or spec.remove_extra_whitespaces:
-        raise ValueError("a merge vocabulary with byte fallback and without a character map is needed")
+    fits = trainer.model_type in (UNIGRAM, BPE) and trainer.byte_fallback
+    if not fits or spec.precompiled_charsmap or spec.remove_extra_whitespaces:
+        raise ValueError("a vocabulary of pieces or merges with byte fallback and without a character map is needed")
     rows = [(p.piece, p.score, p.type) for p in model.pieces]
-    return Vocabulary(*(list(x) for x in zip(*rows, strict=True)), dummy_prefix=spec.add_dummy_prefix)
+    return Vocabulary(*(list(x) for x in zip(*rows, strict=True)), spec.add_dummy_prefix, trainer.model_type == BPE)
+
+
+#: Of the lattice: the place behind the characters read, the piece (-1 in the fallback
+#: machine), the ids given, and the weight.
+Arc = tuple[int, int, tuple[int, ...], float]
 
 
 @dataclass
@@ -70,12 +86,12 @@ class Transducer:
     def __post_init__(self) -> None:
         v = self.vocabulary
         self.ids = {p: i for i, (p, kind) in enumerate(zip(v.pieces, v.kinds, strict=True)) if kind == NORMAL}
-        self.arcs = {}  # by character; under the empty text the piece that ends there
+        self.arcs = {}  # by character; under the empty text the piece that ends there, its ids and its weight
         for piece, i in self.ids.items():
             at = self.arcs
             for c in piece:
                 at = at.setdefault(c, {})
-            at[""] = i
+            at[""] = (i, (i,), 0.0 if v.merges else -v.scores[i])
         named = {p: i for i, (p, kind) in enumerate(zip(v.pieces, v.kinds, strict=True)) if kind == BYTE}
         self.byte_ids = [named[f"<0x{b:02X}>"] for b in range(256)]
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
@@ -86,7 +102,9 @@ class Transducer:
         for piece in self.ids:
             raw = piece.replace(SPACE, " ").encode()
             self.apart[list(raw[:-1]), list(raw[1:])] = False
-        self._pairs: dict[int, bool] = {}
+        scores = [v.scores[i] for i in self.ids.values()]
+        self.outside = 0.0 if v.merges else OUTSIDE - min(scores, default=0.0)
+        self._borders: dict[int, float] = {}
         self.cache = SegmentCache(self._encode)
         raw = [p.replace(SPACE, " ").encode() if kind == NORMAL else b"" for p, kind in zip(v.pieces, v.kinds, strict=True)]
         for b, i in enumerate(self.byte_ids):
@@ -104,53 +122,71 @@ class Transducer:
             i = min(found)[1]
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
 
-    def _admits(self, pair: int, left: int, right: int) -> bool:
-        """Weight 0 of the arc with ``right`` from the state ``left``; the weight is infinite otherwise."""
-        if len(self._pairs) >= REMEMBERED:
-            self._pairs.clear()
-        x, y = self.vocabulary.pieces[left], self.vocabulary.pieces[right]
-        known = self._pairs[pair] = self.merged(list(x + y)) == [x, y]
+    def border(self, left: int, right: int) -> float:
+        """What a merge vocabulary's arc with ``right`` weighs after the piece ``left``."""
+        key = left * len(self.vocabulary.pieces) + right
+        known = self._borders.get(key)
+        if known is None:
+            if len(self._borders) >= REMEMBERED:
+                self._borders.clear()
+            x, y = self.vocabulary.pieces[left], self.vocabulary.pieces[right]
+            known = self._borders[key] = 0.0 if self.merged(list(x + y)) == [x, y] else math.inf
         return known
 
-    def shortest_path(self, text: str) -> list[int]:
-        """Ids of the path of finite weight over the lattice of a normalised segment.
+    def normalise(self, text: str) -> str:
+        """The output of the normaliser, state by state the same."""
+        return text.replace(" ", SPACE)
 
-        Every prefix of a segment has one path of finite weight, so each place has
-        one state: the piece that its path ends with, or -1 after the fallback machine.
-        """
-        n, arcs, pairs, width = len(text), self.arcs, self._pairs, len(self.vocabulary.pieces)
-        last: list[int | None] = [None] * (n + 1)
-        back = [0] * (n + 1)
-        last[0] = -1
+    def compose(self, text: str) -> list[list[Arc]]:
+        """The lattice: arcs by the place where they begin, of the piece and the fallback machine."""
+        read, n = self.normalise(text), len(text)
+        lattice: list[list[Arc]] = []
         for i in range(n):
-            state = last[i]
-            if state is None:
-                continue
-            at, stop = arcs, i
-            while stop < n and (at := at.get(text[stop])) is not None:
+            found, at, stop = [], self.arcs, i
+            while stop < n and (at := at.get(read[stop])) is not None:
                 stop += 1
-                if last[stop] is None and (piece := at.get("")) is not None:
-                    if state >= 0:
-                        pair = state * width + piece
-                        admitted = pairs.get(pair)
-                        if not (self._admits(pair, state, piece) if admitted is None else admitted):
+                if "" in at:
+                    found.append((stop, *at[""]))
+            if not found or found[0][0] > i + 1:  # no piece is this character alone
+                found.append((i + 1, -1, tuple(self.byte_ids[b] for b in read[i].encode()), self.outside))
+            lattice.append(found)
+        return lattice
+
+    def relax(self, lattice: list[list[Arc]]) -> list[int]:
+        """Ids of the shortest path from the first place to the last.
+
+        A merge vocabulary's machine is unambiguous: one path to a place has a finite
+        weight, so arcs to a place that has its path are not weighed any more.
+        """
+        merges, border = self.vocabulary.merges, self.border
+        # By place: state -> (weight, place before, state before, ids of the arc).
+        best: list[dict[int, tuple]] = [{} for _ in range(len(lattice) + 1)]
+        best[0][-1] = (0.0, 0, -1, ())
+        for i, arcs in enumerate(lattice):
+            for state, (weight, *_) in best[i].items():
+                for end, piece, ids, own in arcs:
+                    there, to, total = best[end], -1, weight + own
+                    if merges:
+                        if there:
                             continue
-                    last[stop], back[stop] = piece, i
-            if stop == i or "" not in arcs[text[i]]:  # only the fallback machine takes this character
-                last[i + 1], back[i + 1] = -1, i
-        path, at = [], n
+                        to = piece
+                        if state >= 0 <= piece:
+                            total += border(state, piece)
+                    if total < (there[to][0] if to in there else math.inf):
+                        there[to] = (total, i, state, ids)
+        path: list[tuple[int, ...]] = []
+        at = len(lattice)
+        state = min(best[at], key=lambda s: best[at][s][0]) if at else -1
         while at:
-            before = back[at]
-            if last[at] >= 0:
-                path.append(last[at])
-            else:
-                path += [self.byte_ids[b] for b in reversed(text[before:at].encode())]
-            at = before
-        path.reverse()
-        return path
+            _, at, state, ids = best[at][state]
+            path.append(ids)
+        return [x for ids in reversed(path) for x in ids]
+
+    def shortest_path(self, text: str) -> list[int]:
+        return self.relax(self.compose(text))
 
     def _encode(self, segments: list[str]) -> list[list[int]]:
-        return [self.shortest_path(s.replace(" ", SPACE)) for s in segments]
+        return [self.shortest_path(s) for s in segments]
 
     def encode_chunk(self, chunk: bw.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Offsets and ids by text, and the normalised bytes with their offsets."""
@@ -187,9 +223,10 @@ _compiled: dict[int, Transducer] = {}
 
 
 def compiled(vocabulary: Vocabulary) -> Transducer:
-    """One transducer for each worker and vocabulary."""
+    """One transducer for each worker, the last one asked for; what it remembers is bounded in bytes."""
     key = hash((len(vocabulary.pieces), *vocabulary.pieces[-100:]))
     if key not in _compiled:
+        _compiled.clear()
         _compiled[key] = Transducer(vocabulary)
     return _compiled[key]
 

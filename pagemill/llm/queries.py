@@ -42,11 +42,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    found = suffix_dedup.spans(documents)
+    scratch = Scratch(spark)
+    documents = suffix_dedup.keyed(table(spark, sf_dir, "documents"), scratch)
+    found = suffix_dedup.spans(documents, scratch=scratch)
     words = lambda spans: F.aggregate(spans, F.lit(0), lambda n, s: n + s["end"] - s["start"])
     text = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws("-", s["start"], s["end"])))
-    return documents.select("doc_id").join(found, "doc_id", "left").select(
+    return suffix_dedup.same_doc(documents.select("doc_id", "_key"), found, "left").select(
         "doc_id",
         F.coalesce(words("repeated"), F.lit(0)).alias("n_repeated_words"),
         F.coalesce(words("later"), F.lit(0)).alias("n_cut_words"),

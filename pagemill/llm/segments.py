@@ -18,11 +18,18 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class SegmentCache:
     """The ids of the segments that a worker has seen, known by two 64-bit hashes of their bytes.
 
-    Full, it keeps those that were asked for most often, half of them at most.
+    Workers outlive their tasks, so it is bounded in bytes: beyond ``most_bytes`` it keeps
+    those that were asked for most often, half of them at most.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], remembered: int = 1 << 20):
-        self.encode, self.remembered = encode, remembered
+    #: Bytes of a segment besides its ids: two hashes, number, uses and bound.
+    EACH = 40
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most_bytes: int = 32 << 20):
+        self.encode, self.most_bytes = encode, most_bytes
+        self.clear()
+
+    def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # sorted first hashes
         self.numbers = np.zeros(0, np.int64)  # the segment of each key
         self.n = 0
@@ -51,12 +58,12 @@ class SegmentCache:
         return numbers
 
     def _forget(self) -> None:
-        half, times = self.remembered // 2, self.used[self.numbers]
+        half, times = max(1, self.n // 2), self.used[self.numbers]
         least = max(2, int(np.partition(times, -half)[-half]) + 1) if len(times) > half else 2
         keys, kept = self.keys[times >= least], self.numbers[times >= least]
         begins, sizes = self.bounds[kept], self.bounds[kept + 1] - self.bounds[kept]
         ids, checks, used = self.ids[ragged(begins, sizes)], self.checks[kept], self.used[kept] // 2
-        self.keys, self.numbers, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        self.clear()
         self.used[self._store(keys, checks, sizes, ids)] = used
 
     def _find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
@@ -76,7 +83,7 @@ class SegmentCache:
         keys, checks = (hash_segments(data, offsets[:-1], offsets[1:], other) for other in (False, True))
         numbers = self._find(keys, checks)
         new = np.flatnonzero(numbers < 0)
-        if len(new) and self.n and self.n + len(new) > self.remembered:
+        if len(new) and self.n and (self.n + len(new)) * self.EACH + 4 * int(self.bounds[self.n]) > self.most_bytes:
             self._forget()
             numbers = self._find(keys, checks)
             new = np.flatnonzero(numbers < 0)

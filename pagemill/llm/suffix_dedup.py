@@ -13,10 +13,11 @@ The sort has the place as its last key, so a passage that is everywhere is sprea
 tasks; a run that a task boundary cuts is settled by the extension.  Words are compared
 by 64-bit hashes of their bytes (case counts).
 
-Defined results: the first place is the one with the least (doc_id, position).  NULL,
-empty and short texts have no passages.  Rows that repeat a document (same doc_id and
-text) are one document and cut alike; a NULL doc_id is never cut.  Texts that differ
-under one doc_id are outside the contract: none of them is cut.
+Defined results: the first place is the one with the least (doc_id, key, position), where
+``keyed`` gives each document its key: the hash of its text, or for a row without doc_id
+a number of its own.  NULL doc_ids come last.  NULL, empty and short texts have no
+passages.  Rows that repeat a document (same doc_id and text) are one document and cut
+alike; different texts under one doc_id, and rows without doc_id, are documents by themselves.
 """
 
 from collections.abc import Iterator
@@ -62,17 +63,35 @@ def anchors(chunk: bw.Chunk, rule: Passages) -> tuple[np.ndarray, np.ndarray, np
     return words, starts, starts + least[starts]
 
 
+#: What names a document; the key's column has a name that inputs hardly have.
+DOC = ["doc_id", "_key"]
+
+
+def keyed(documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """``documents`` with ``_key``, which tells different documents of one doc_id apart, and those without one.
+
+    Only the rows without doc_id are written: their keys must not change when a task is repeated.
+    """
+    named = documents.where("doc_id is not null").withColumn("_key", F.xxhash64("text"))
+    nameless = documents.where("doc_id is null").withColumn("_key", F.monotonically_increasing_id())
+    return named.unionByName(scratch.save(nameless, "nameless"))
+
+
 _SUFFIXES = pa.schema(
-    [("head", pa.int64()), ("stretch", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())]
+    [("head", pa.int64()), ("stretch", pa.int64()), ("doc_id", pa.int64()), ("_key", pa.int64())]
+    + [("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())]
 )
 
 
+def _take(batch: pa.RecordBatch, rows: np.ndarray) -> dict[str, pa.Array]:
+    return {c: batch[c].take(pa.array(rows)) for c in DOC}
+
+
 def suffixes(documents: DataFrame, rule: Passages) -> DataFrame:
     """The kept suffixes: hashes of head and stretch, and the places of both in words of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             for chunk in bw.chunks(batch["text"]):
                 words, starts, at = anchors(chunk, rule)
                 if not len(at):
@@ -87,61 +106,67 @@ def suffixes(documents: DataFrame, rule: Passages) -> DataFrame:
                     {
                         "head": bw.span_hashes(words, pos, pos + rule.head).view(np.int64),
                         "stretch": bw.mix(bw.span_hashes(words, lo, hi) + (pos - lo).astype(np.uint64)).view(np.int64),
-                        "doc_id": ids[chunk.first + text].astype(np.int64),
                         "pos": (pos - base).astype(np.int32),
                         "lo": (lo - base).astype(np.int32),
                         "hi": (hi - base).astype(np.int32),
-                    },
+                    }
+                    | _take(batch, chunk.first + text),
                     _SUFFIXES,
                 )
 
-    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "head long, stretch long, doc_id long, pos int, lo int, hi int")
+    rows = documents.select(F.col("doc_id").cast("long"), "_key", "text")
+    return rows.mapInArrow(run, "head long, stretch long, doc_id long, _key long, pos int, lo int, hi int")
 
 
-_COMPARED = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("state", pa.int32())])
+_COMPARED = pa.schema([*((c, pa.int64()) for c in DOC), *((c, pa.int32()) for c in ("pos", "lo", "hi", "state"))])
 
 
 def compare_neighbours(found: DataFrame) -> DataFrame:
-    """Sort the suffixes and keep those whose head a neighbour has, with a state."""
+    """Sort the suffixes and keep those whose head a neighbour has, with a state.
+
+    A task holds one batch at a time.  Of the heads at its ends other batches or tasks may
+    hold more, so these are left to the extension.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not parts:
-            return
-        rows = pa.Table.from_batches(parts)
-        head, stretch, doc, pos = (rows[c].to_numpy() for c in ("head", "stretch", "doc_id", "pos"))
-        n = len(head)
-        new_head = np.append(True, head[1:] != head[:-1])
-        new_stretch = new_head | np.append(True, stretch[1:] != stretch[:-1])
-        new_place = new_stretch | np.append(True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1]))
-        of_head, of_stretch = np.cumsum(new_head) - 1, np.cumsum(new_stretch) - 1
-        places = np.bincount(of_head[new_place], minlength=of_head[-1] + 1)
-        kinds = np.bincount(of_head[new_stretch], minlength=of_head[-1] + 1)
-        opening = np.flatnonzero(new_stretch)[of_stretch]  # first row of the same stretch
-        first = (doc == doc[opening]) & (pos == pos[opening])
-        # Other tasks may hold more of the first and the last head.
-        cut = (of_head == 0) | (of_head == of_head[n - 1])
-        again = np.bincount(of_stretch[new_place], minlength=of_stretch[-1] + 1)[of_stretch] > 1
-        ends = (kinds[of_head] > 1) | cut
-        state = np.where(~first, LATER, np.where(~ends, FIRST, np.where(again, FIRST_EXTEND, EXTEND))).astype(np.int32)
-        keep = np.flatnonzero(((places[of_head] > 1) | cut) & new_place)
-        taken = rows.take(pa.array(keep))
-        yield from batches_of(
-            {c: taken[c].combine_chunks() for c in ("doc_id", "pos", "lo", "hi")} | {"state": state[keep]}, _COMPARED
-        )
-
-    order = ["head", "stretch", "doc_id", "pos"]
-    return found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "doc_id long, pos int, lo int, hi int, state int")
+        for rows in batches:
+            n = len(rows)
+            if not n:
+                continue
+            head, stretch, key, pos = (rows[c].to_numpy() for c in ("head", "stretch", "_key", "pos"))
+            known = rows["doc_id"].is_valid().to_numpy(zero_copy_only=False)
+            doc = rows["doc_id"].fill_null(0).to_numpy()
+            place = np.stack([doc, known, key, pos], 1)
+            new_head = np.append(True, head[1:] != head[:-1])
+            new_stretch = new_head | np.append(True, stretch[1:] != stretch[:-1])
+            new_place = new_stretch | np.append(True, (place[1:] != place[:-1]).any(1))
+            of_head, of_stretch = np.cumsum(new_head) - 1, np.cumsum(new_stretch) - 1
+            places = np.bincount(of_head[new_place], minlength=of_head[-1] + 1)
+            kinds = np.bincount(of_head[new_stretch], minlength=of_head[-1] + 1)
+            opening = np.flatnonzero(new_stretch)[of_stretch]  # first row of the same stretch
+            first = (place == place[opening]).all(1)
+            cut = (of_head == 0) | (of_head == of_head[n - 1])
+            again = np.bincount(of_stretch[new_place], minlength=of_stretch[-1] + 1)[of_stretch] > 1
+            ends = (kinds[of_head] > 1) | cut
+            state = np.where(~first, LATER, np.where(~ends, FIRST, np.where(again, FIRST_EXTEND, EXTEND))).astype(np.int32)
+            keep = np.flatnonzero(((places[of_head] > 1) | cut) & new_place)
+            taken = rows.take(pa.array(keep))
+            yield from batches_of({c: taken[c] for c in (*DOC, "pos", "lo", "hi")} | {"state": state[keep]}, _COMPARED)
+
+    order = ["head", "stretch", F.col("doc_id").asc_nulls_last(), "_key", "pos"]
+    return (
+        found.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .mapInArrow(run, "doc_id long, _key long, pos int, lo int, hi int, state int")
+    )
 
 
 def extend(documents: DataFrame, undecided: DataFrame, rule: Passages) -> DataFrame:
-    """(key, doc_id, lo): the windows of undecided suffixes."""
-    out = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32())])
+    """(key, doc_id, _key, lo): the windows of undecided suffixes."""
+    out = pa.schema([("key", pa.int64()), *((c, pa.int64()) for c in DOC), ("lo", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["doc_id"].to_numpy()
             wanted = batch["places"]
             for chunk in bw.chunks(batch["text"]):
                 words, starts, at = anchors(chunk, rule)
@@ -155,28 +180,36 @@ def extend(documents: DataFrame, undecided: DataFrame, rule: Passages) -> DataFr
                 yield from batches_of(
                     {
                         "key": bw.span_hashes(words, starts, starts + rule.min_words).view(np.int64),
-                        "doc_id": ids[chunk.first + text],
                         "lo": (starts - chunk.word_offsets[text]).astype(np.int32),
-                    },
+                    }
+                    | _take(batch, chunk.first + text),
                     out,
                 )
 
-    places = undecided.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
-    rows = documents.select(F.col("doc_id").cast("long"), "text").join(places, "doc_id")
-    return rows.mapInArrow(run, "key long, doc_id long, lo int")
+    places = undecided.groupBy(*DOC).agg(F.collect_set("pos").alias("places"))
+    rows = same_doc(documents.select(F.col("doc_id").cast("long"), "_key", "text"), places, "inner")
+    return rows.select(*DOC, "text", "places").mapInArrow(run, "key long, doc_id long, _key long, lo int")
+
+
+def same_doc(documents: DataFrame, facts: DataFrame, how: str) -> DataFrame:
+    """``documents`` joined with ``facts`` of documents; missing ids are equal."""
+    facts = facts.withColumnsRenamed({c: f"_of_{c}" for c in DOC})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_of_doc_id")) & (F.col("_key") == F.col("_of__key"))
+    return documents.join(facts, same, how).drop(*(f"_of_{c}" for c in DOC))
 
 
-def repeated_windows(windows: DataFrame, rule: Passages) -> DataFrame:
-    """(doc_id, lo, hi, later) of the windows that occur in two places or more."""
-    place = F.struct("doc_id", "lo")
+def repeated_windows(windows: DataFrame, rule: Passages, scratch: Scratch) -> DataFrame:
+    """(doc_id, _key, lo, hi, later) of the windows that occur in two places or more."""
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), *DOC, "lo")
     groups = windows.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    groups = scratch.save(groups, "window-groups")  # a table, so that its join splits at a passage that is everywhere
     return windows.join(groups, "key").select(
-        "doc_id", "lo", (F.col("lo") + rule.min_words).alias("hi"), (place != F.col("first")).alias("later")
+        *DOC, "lo", (F.col("lo") + rule.min_words).alias("hi"), (~place.eqNullSafe(F.col("first"))).alias("later")
     )
 
 
 def spans(documents: DataFrame, rule: Passages | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, repeated, later) of the documents with repeats: merged [start, end) spans of words.
+    """(doc_id, _key, repeated, later) of the ``keyed`` documents with repeats: merged [start, end) spans of words.
 
     ``repeated`` has every place of a repeated passage, ``later`` all but the first.
     """
@@ -185,11 +218,9 @@ def spans(documents: DataFrame, rule: Passages | None = None, scratch: Scratch |
     compared = scratch.save(compare_neighbours(found), "compared")
     scratch.drop("suffixes")
     windows = scratch.save(extend(documents, compared.where(F.col("state").isin(EXTEND, FIRST_EXTEND)), rule), "windows")
-    ends = repeated_windows(windows, rule)
-    whole = compared.where(F.col("state") != EXTEND).select("doc_id", "lo", "hi", (F.col("state") == LATER).alias("later"))
-    digest = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h")).groupBy("doc_id")
-    unclear = digest.agg((F.min("h") != F.max("h")).alias("differ")).where("differ").select("doc_id")
-    by_doc = whole.union(ends).join(unclear, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "later")).alias("parts"))
+    ends = repeated_windows(windows, rule, scratch)
+    whole = compared.where(F.col("state") != EXTEND).select(*DOC, "lo", "hi", (F.col("state") == LATER).alias("later"))
+    by_doc = whole.union(ends).groupBy(*DOC).agg(F.collect_list(F.struct("lo", "hi", "later")).alias("parts"))
     pairs = "array<struct<start:int,end:int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,10 +232,10 @@ def spans(documents: DataFrame, rule: Passages | None = None, scratch: Scratch |
                 later.append(_union(lo[flag], hi[flag]))
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(repeated, kind), pa.array(later, kind)], names=["doc_id", "repeated", "later"]
+                [*(batch[c] for c in DOC), pa.array(repeated, kind), pa.array(later, kind)], names=[*DOC, "repeated", "later"]
             )
 
-    return by_doc.mapInArrow(run, f"doc_id long, repeated {pairs}, later {pairs}")
+    return by_doc.mapInArrow(run, f"doc_id long, _key long, repeated {pairs}, later {pairs}")
 
 
 def _union(lo: np.ndarray, hi: np.ndarray) -> list[dict[str, int]]:
@@ -219,13 +250,13 @@ def _union(lo: np.ndarray, hi: np.ndarray) -> list[dict[str, int]]:
 
 
 def cut(documents: DataFrame, found: DataFrame, drop_emptied: bool = False) -> DataFrame:
-    """``documents`` without the words of ``found.later``, and what follows each up to the next word.
+    """``keyed`` documents without the words of ``found.later``, and what follows each up to the next word.
 
-    ``drop_emptied`` drops the rows that keep no word of those they had.
+    ``drop_emptied`` drops the rows that keep no word of those they had.  The key is left out.
     """
-    columns = documents.columns
-    later = found.where(F.size("later") > 0).select(F.col("doc_id").alias("_cut_id"), F.col("later").alias("_cut"))
-    rows = documents.join(later, F.col("doc_id").cast("long") == F.col("_cut_id"), "left").drop("_cut_id")
+    columns = [c for c in documents.columns if c != "_key"]
+    later = found.where(F.size("later") > 0).select(*DOC, F.col("later").alias("_cut"))
+    rows = same_doc(documents, later, "left").drop("_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,7 +271,7 @@ def cut(documents: DataFrame, found: DataFrame, drop_emptied: bool = False) -> D
                 out = out.filter(pa.array(stay))
             yield out
 
-    return rows.mapInArrow(run, documents.schema)
+    return rows.mapInArrow(run, documents.drop("_key").schema)
 
 
 def _without(texts: pa.Array, cuts: pa.Array) -> list[str]:

@@ -2,6 +2,7 @@
 
 import random
 import signal
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -56,6 +57,23 @@ def test_jaccard_on_nothing(nothing):
     assert jaccard_of(nothing) == []
 
 
+def test_memory_of_a_cell_of_near_copies():
+    """A cell links n x n sets; its forest and its lists are all that is held."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 1 << 62, 32).astype(np.uint64)
+    sets = []
+    for _ in range(8000):
+        own = base.copy()
+        own[rng.integers(32)] = rng.integers(1, 1 << 62)
+        sets.append(np.sort(own))
+    tracemalloc.start()
+    kept = jaccard_join.scan_links(sets[:3000], np.zeros(3000, np.int32), jaccard_join.Rule())
+    crossing = jaccard_join.scan_links(sets, np.repeat([0, 1], 4000).astype(np.int32), jaccard_join.Rule())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(kept) == 2999 and len(crossing) == 7999 and peak < 100 << 20
+
+
 def test_jaccard_of_small_sets(spark):
     """Sizes around the boundary, where subsets and lists meet."""
     rng, rows = random.Random(4), []
@@ -104,8 +122,10 @@ def test_subsets_mean_links():
 
 
 def passages_by_force(rows, n):
+    """Places by row key: the id, or for a row without one its number as text."""
     first, count = {}, {}
-    kept = sorted({(i, t or "") for i, t in rows if i is not None})
+    named = sorted({(i, t or "") for i, t in rows if i is not None})
+    kept = named + [(f"row {k}", t or "") for k, (i, t) in enumerate(rows) if i is None]
     for i, t in kept:
         w = WORD.findall(t)
         for s in range(len(w) - n + 1):
@@ -128,16 +148,23 @@ def words_of(spans):
     return {j for s in spans for j in range(s["start"], s["end"])}
 
 
+def keyed(df):
+    return suffix_dedup.keyed(df, Scratch(df.sparkSession))
+
+
 @pytest.mark.parametrize("tasks", [1, 7])
 def test_passages(spark, edges, edge_rows, tasks):
     spark.conf.set("spark.sql.shuffle.partitions", tasks)
     try:
-        got = suffix_dedup.spans(edges).collect()
+        got = suffix_dedup.spans(keyed(edges)).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
     repeated, later = passages_by_force([r[:2] for r in edge_rows], 50)
-    assert {r["doc_id"]: words_of(r["repeated"]) for r in got} == repeated
-    assert {r["doc_id"]: words_of(r["later"]) for r in got if r["later"]} == later
+    nameless = {k for k in repeated if isinstance(k, str)}
+    assert len(nameless) == 1  # the edges have one row without id that has passages
+    name = lambda r: min(nameless) if r["doc_id"] is None else r["doc_id"]
+    assert {name(r): words_of(r["repeated"]) for r in got} == repeated
+    assert {name(r): words_of(r["later"]) for r in got if r["later"]} == later
 
 
 def test_passages_with_shifting_ends(spark):
@@ -148,7 +175,7 @@ def test_passages_with_shifting_ends(spark):
         a = rng.randrange(200)
         rows.append((k, invented(100 + k, 20, 10**6) + " " + " ".join(base[a : a + rng.randrange(30, 110)]) + " " + invented(900 + k, 9, 10**6)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = suffix_dedup.spans(df).collect()
+    got = suffix_dedup.spans(keyed(df)).collect()
     repeated, later = passages_by_force(rows, 50)
     assert {r["doc_id"]: words_of(r["repeated"]) for r in got} == repeated
     assert {r["doc_id"]: words_of(r["later"]) for r in got if r["later"]} == later
@@ -157,19 +184,40 @@ def test_passages_with_shifting_ends(spark):
 def test_cut_keeps_the_rest(spark, edges):
     passage = invented(33, 60)
     rows = [(1, f"first {passage} end"), (2, f"  other\n{passage}\n\nlast é words"), (3, passage), (4, None), (5, "kept")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = keyed(spark.createDataFrame(rows, "doc_id long, text string"))
     out = suffix_dedup.cut(df, suffix_dedup.spans(df))
     assert {r[0]: r[1] for r in out.collect()} == {1: rows[0][1], 2: "  other\nlast é words", 3: "", 4: None, 5: "kept"}
     emptied = suffix_dedup.cut(df, suffix_dedup.spans(df), drop_emptied=True)
     assert {r[0] for r in emptied.collect()} == {1, 2, 4, 5}
-    assert suffix_dedup.cut(edges, suffix_dedup.spans(edges)).columns == edges.columns
+    with_keys = keyed(edges)
+    assert suffix_dedup.cut(with_keys, suffix_dedup.spans(with_keys)).columns == edges.columns
 
 
-def test_unclear_ids_and_nothing(spark, nothing):
-    passage = invented(34, 80)
-    df = spark.createDataFrame([(1, passage), (2, passage), (2, "x " + passage)], "doc_id long, text string")
-    assert [r["doc_id"] for r in suffix_dedup.spans(df).collect()] == [1]
-    assert suffix_dedup.spans(nothing).collect() == []
+def test_shared_and_missing_ids(spark, nothing):
+    """Every document counts: texts that share an id, and rows without one."""
+    passage = invented(34, 60)
+    rows = [(1, passage + " a"), (2, "b " + passage), (2, "another text"), (None, passage), (None, passage)]
+    df = keyed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = suffix_dedup.spans(df).collect()
+    assert sorted((r["doc_id"] or 9, len(words_of(r["repeated"])), len(words_of(r["later"]))) for r in got) == [
+        (1, 60, 0), (2, 60, 60), (9, 60, 60), (9, 60, 60),
+    ]
+    out = suffix_dedup.cut(df, suffix_dedup.spans(df)).collect()
+    assert sorted(((r[0] or 9), r[1]) for r in out) == [(1, passage + " a"), (2, "another text"), (2, "b "), (9, ""), (9, "")]
+    assert suffix_dedup.spans(keyed(nothing)).collect() == []
+
+
+def test_a_passage_everywhere(spark):
+    """One stretch in more suffixes than an Arrow batch holds."""
+    passage = invented(35, 55)
+    rows = [(k, f"{passage} end{k}" if k % 3 else f"{passage} {passage}") for k in range(12_000)]
+    df = keyed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = {r["doc_id"]: r for r in suffix_dedup.spans(df).collect()}
+    assert len(got) == 12_000
+    for k in range(0, 12_000, 37):
+        n = 55 if k % 3 else 110
+        assert words_of(got[k]["repeated"]) == set(range(n)), k
+        assert words_of(got[k]["later"]) == (set(range(n)) if k else set(range(55, 110))), k
 
 
 VECTORS = "vec_id long, embedding array<float>, label int, node string, cell string, task string"

@@ -56,7 +56,7 @@ def test_blocks_of_a_long_text_hash_alike(monkeypatch):
 
 
 def test_segment_cache_forgets_and_stays_right():
-    cache = SegmentCache(lambda found: [[len(s), *s.encode()] for s in found], remembered=50)
+    cache = SegmentCache(lambda found: [[len(s), *s.encode()] for s in found], most_bytes=50 * SegmentCache.EACH)
     rng = random.Random(2)
     for _ in range(40):
         words = [f"{rng.randrange(10 if rng.random() < 0.5 else 5000)}" for _ in range(30)]
@@ -127,6 +127,53 @@ def vocabulary():
     return piece_transducer.read_vocabulary(tokenizer_path("piece_bpe_32k.model"))
 
 
+def test_scored_pieces_take_the_least_weight():
+    """A vocabulary with real scores against the least of all ways to cut a text."""
+    rng = random.Random(12)
+    alphabet = "ab" + piece_transducer.SPACE
+    pieces = sorted({"".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 5))) for _ in range(60)} - {""})
+    pieces = [p for p in pieces if piece_transducer.SPACE not in p.lstrip(piece_transducer.SPACE) and p != "b"]
+    names = [f"<0x{b:02X}>" for b in range(256)] + pieces
+    scores = [0.0] * 256 + [-round(rng.uniform(0.5, 9), 3) for _ in pieces]
+    kinds = [piece_transducer.BYTE] * 256 + [piece_transducer.NORMAL] * len(pieces)
+    machine = piece_transducer.Transducer(piece_transducer.Vocabulary(names, scores, kinds, merges=False))
+    outside = piece_transducer.OUTSIDE - min(scores[256:])
+
+    def least(text):
+        best = [0.0] + [math.inf] * len(text)
+        for j in range(1, len(text) + 1):
+            for i in range(j):
+                if text[i:j] in pieces:
+                    best[j] = min(best[j], best[i] - scores[names.index(text[i:j])])
+            if text[j - 1] not in pieces:
+                best[j] = min(best[j], best[j - 1] + outside)
+        return best[-1]
+
+    for _ in range(300):
+        text = "".join(rng.choice("ab bé") for _ in range(rng.randrange(0, 12)))
+        read = machine.normalise(text)
+        ids = machine.shortest_path(text)
+        weight, k = 0.0, 0
+        while k < len(ids):  # the bytes of one character weigh ``outside``
+            if ids[k] >= 256:
+                weight, k = weight - scores[ids[k]], k + 1
+            else:
+                size = 1 if ids[k] < 0x80 else 2 if ids[k] < 0xE0 else 3
+                weight, k = weight + outside, k + size
+        assert weight == pytest.approx(least(read)), text
+        assert machine.decode(ids) == (text[1:] if text.startswith(" ") else text)
+
+
+def test_lattice_is_of_all_machines():
+    names = [f"<0x{b:02X}>" for b in range(256)] + ["a", "ab", piece_transducer.SPACE]
+    kinds = [piece_transducer.BYTE] * 256 + [piece_transducer.NORMAL] * 3
+    machine = piece_transducer.Transducer(piece_transducer.Vocabulary(names, [0.0] * 256 + [-1.0, -3.0, -2.0], kinds, merges=False))
+    lattice = machine.compose(" abé")
+    assert [[(end, piece) for end, piece, _, _ in arcs] for arcs in lattice] == [[(1, 258)], [(2, 256), (3, 257)], [(3, -1)], [(4, -1)]]
+    assert lattice[3][0][2] == tuple("é".encode()) and lattice[3][0][3] == 13.0
+    assert machine.relax(lattice) == [258, 257, 0xC3, 0xA9]
+
+
 def test_pieces_equal_the_library(vocabulary):
     import sentencepiece
 
