@@ -21,8 +21,6 @@ _OTHER_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _PLACES = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[list(WHITE)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
@@ -124,8 +122,8 @@ def span_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((prefix[ends] - prefix[starts]) * _table("down", _BASE_INVERSE, n + 1)[starts])
 
 
-def chunks(texts: pa.Array, lower: bool = False, max_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Cut a text column between texts into chunks of about ``max_bytes``.
+def chunks(texts: pa.Array, lower: bool = False, max_bytes: int = CHUNK_BYTES, breaks: bytes = WHITE) -> Iterator[Chunk]:
+    """Cut a text column between texts into chunks of about ``max_bytes``; ``breaks`` are no part of words.
 
     A NULL text is an empty one.  A text longer than a chunk is one by itself.
     """
@@ -140,6 +138,8 @@ def chunks(texts: pa.Array, lower: bool = False, max_bytes: int = CHUNK_BYTES) -
         return
     offsets = np.frombuffer(offsets, wide, n + 1, texts.offset * wide().itemsize).astype(np.int64)
     body = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
+    is_break = np.zeros(256, bool)
+    is_break[list(breaks)] = True
     first = 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + max_bytes, "right")) - 1)
@@ -148,7 +148,7 @@ def chunks(texts: pa.Array, lower: bool = False, max_bytes: int = CHUNK_BYTES) -
         if lower:
             data = LOWER[data]
         at = offsets[first : last + 1] - offsets[first]
-        space = _IS_SPACE[data]
+        space = is_break[data]
         fresh = np.ones(len(data) + 1, bool)  # a word may begin here
         fresh[1:] = True
         if len(data):

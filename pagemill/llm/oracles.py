@@ -174,6 +174,96 @@ from b join d on (h >> ({BITS} - depth)) = p where not {large}
 """
 
 
+SEARCH = """
+with v as (
+  select row_number() over () as k, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+s as (
+  select q.k, q.vec_id as query_id, v.vec_id, list_inner_product(q.e, v.e)::bigint as score
+  from v q join v on q.k <> v.k where q.vec_id % 50 = 0
+)
+select query_id, row_number() over (partition by k order by score desc, vec_id nulls last)::int as rank, vec_id, score
+from s qualify rank <= 5
+"""
+
+_GRAMS = [f"x{k}" for k in range(1, 6)]
+PHRASES = rf"""
+with d as (select row_number() over () as r, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), '{_CAPITALS}', '{_SMALL}') as t from documents),
+p as (select r, lang, regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]') as ps from d),
+q as (select r, lang, unnest(range(len(ps))) as piece, unnest(ps) as t from p),
+u as (select r, lang, piece, regexp_extract_all(t, '[^\x20\x09]+') as w from q),
+w as (select r, lang, piece, unnest(range(len(w))) as i, unnest(w) as x1 from u),
+g1 as (select lang, x1, lead(x1, 1) over k as y2, lead(x1, 2) over k as y3, lead(x1, 3) over k as y4, lead(x1, 4) over k as y5
+  from w window k as (partition by r, piece order by i)),
+g as (select lang, x1, x1 || ' ' || y2 as x2, x1 || ' ' || y2 || ' ' || y3 as x3, x1 || ' ' || y2 || ' ' || y3 || ' ' || y4 as x4,
+  x1 || ' ' || y2 || ' ' || y3 || ' ' || y4 || ' ' || y5 as x5 from g1),
+f as ({" union all ".join(f"select lang, {k + 1} as size, {x} as phrase, count(*) as f from g where {x} is not null group by all" for k, x in enumerate(_GRAMS))}),
+n as (select lang, sum(f)::bigint as n from f where size = 1 group by lang),
+c as (select lang, size, phrase, string_split(phrase, ' ') as w, f as a from f where size > 1 and f >= 100),
+k as (select lang, size as words, phrase, w, a, unnest(range(1, size)) as cut from c),
+s as (
+  select k.lang, words, k.phrase, k.w, a, cut, l.f as l, r.f as r, n.n, ((1000::hugeint * a * n) // (l.f::hugeint * r.f))::bigint as score
+  from k join f l on l.lang = k.lang and l.phrase = array_to_string(w[1:cut], ' ')
+    join f r on r.lang = k.lang and r.phrase = array_to_string(w[cut + 1:words], ' ') join n on n.lang = k.lang
+),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+o as (select b.* from b where not exists (
+  from c where c.lang = b.lang and c.size > b.words and contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') and 100 * c.a >= 100 * b.a))
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from o qualify rank <= 2000
+"""
+
+#: Unsigned crc32 of a text of ASCII characters.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::bigint)), "
+    "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+)
+RUNS = rf"""
+with d as (
+  select row_number() over () as k, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') as w, {_CRC.format("doc_id::varchar")} as h from documents
+),
+e as (select k, doc_id, w, len(w) as n, coalesce(h % 10 = 0 and len(w) > 0, false) as loops, h // 10 as g from d),
+x as materialized (
+  select k, i, x, hash(x) as h from (
+    select k, i, case when loops and i >= g % n then w[g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) + 1] else w[i + 1] end as x
+    from (select *, unnest(range(n)) as i from e)
+  )
+),
+-- Of any places q apart, one in a run begins three periods.  Words are compared with xor, so that joins go by place.
+lags as (select k, n, unnest(range(1, n // 4 + 1)) as q from e),
+looks as (select k, q, unnest(range(0, n - 3 * q + 1, q)) as j from lags),
+once as materialized (
+  select l.k, q, j, a.h from looks l join x a on a.k = l.k and a.i = j join x b on b.k = l.k and b.i = j + q where xor(a.h, b.h) = 0
+),
+twice as materialized (select l.k, q, j, l.h from once l join x c on c.k = l.k and c.i = j + 2 * q where xor(l.h, c.h) = 0),
+last as materialized (select l.k, q, j, f.h from twice l join x f on f.k = l.k and f.i = j + q - 1),
+hits as materialized (select l.k, q, j from last l join x g on g.k = l.k and g.i = j + 2 * q - 1 where xor(l.h, g.h) = 0),
+inside as (select k, q, j, unnest(range(j, j + 2 * q)) as i from hits),
+near as materialized (select s.k, q, j, s.i, a.h from inside s join x a on a.k = s.k and a.i = s.i),
+far as materialized (select s.k, q, j, xor(s.h, b.h) = 0 as same from near s join x b on b.k = s.k and b.i = s.i + q),
+sure as materialized (select distinct k, q from (select k, q, j from far group by all having bool_and(same))),
+every as materialized (select s.k, q, a.i, a.h from sure s join x a on a.k = s.k),
+same as (
+  select s.k, q, s.i, s.i - row_number() over (partition by s.k, q order by s.i) as island
+  from every s join x b on b.k = s.k and b.i = s.i + q where xor(s.h, b.h) = 0
+),
+runs as (
+  select k, min(i) as start, count(*) + q as length, q as period from same group by k, q, island
+  having length >= greatest(6, 4 * q)
+  qualify row_number() over (partition by k, min(i), count(*) + q order by q) = 1
+),
+marks as (select k, count(*) as n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period)) as s from runs group by k),
+longest as (select * from runs qualify row_number() over (partition by k order by length desc, start, period) = 1),
+kept as (
+  select k, string_agg(x, ' ' order by i) as t from x
+  where not exists (from runs where runs.k = x.k and x.i >= start + period and x.i < start + length) group by k
+)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, l.start::bigint as start, l.length::bigint as length, period::bigint as period,
+  (1000 * l.length // period)::bigint as exponent_milli, coalesce(s, sha256('')) as runs_sha256, sha256(coalesce(t, '')) as collapsed_sha256
+from e left join marks using (k) left join longest l using (k) left join kept using (k)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules(),
     "op3_suffix_array_dedup": repeated_passages(),
@@ -181,4 +271,7 @@ ORACLES: dict[str, str] = {
     "op5_ngram_jaccard_join": JACCARD,
     "op9_embedding_near_dedup": EMBEDDINGS,
     "op10_sharding": shards(),
+    "op11_exact_topk": SEARCH,
+    "op12_collocations": PHRASES,
+    "op13_periodic_runs": RUNS,
 }

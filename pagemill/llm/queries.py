@@ -12,14 +12,17 @@ from pagemill.llm import (
     extendible_shards,
     jaccard_join,
     neighbour_vote,
+    periodic_runs,
+    phrase_mining,
     piece_transducer,
     risk_rules,
+    segment_search,
     soft_mixing,
     suffix_dedup,
     token_frames,
     tool_chat,
 )
-from pagemill.llm.common import Scratch, ship_package, table
+from pagemill.llm.common import WORD, Scratch, ship_package, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -130,6 +133,43 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_shards.shards(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"))
+
+
+def looped(documents: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the documents, by the hash of the id, goes in circles from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    rows = documents.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words")).withColumn("n", F.size("words"))
+    some = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    some = some.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    again = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("words", place(i).cast("int")))
+    return some.select("doc_id", F.when(F.col("n") > 0, F.concat_ws(" ", again)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(looped(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))))
+    best = found.withColumn("best", periodic_runs.longest())
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,5 +192,8 @@ QUERIES = {
         op8_mixing,
         op9_embedding_near_dedup,
         op10_sharding,
+        op11_exact_topk,
+        op12_collocations,
+        op13_periodic_runs,
     )
 }

@@ -64,7 +64,8 @@ class SegmentCache:
         begins, sizes = self.bounds[kept], self.bounds[kept + 1] - self.bounds[kept]
         ids, checks, used = self.ids[ragged(begins, sizes)], self.checks[kept], self.used[kept] // 2
         self.clear()
-        self.used[self._store(keys, checks, sizes, ids)] = used
+        numbers = self._store(keys, checks, sizes, ids)
+        self.used[numbers] = used
 
     def _find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
         """The number of each segment, or -1."""

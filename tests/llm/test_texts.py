@@ -67,6 +67,18 @@ def test_segment_cache_forgets_and_stays_right():
         assert bounds[1] == sum(len(w) + 1 for w in words[:10])
 
 
+def test_a_large_segment_cache_forgets():
+    """More segments than the arrays first have room for."""
+    cache = SegmentCache(lambda found: [[len(s)] for s in found], most_bytes=200_000 * SegmentCache.EACH)
+    for turn in range(4):
+        words = [f"{k}" for k in range(turn * 90_000, turn * 90_000 + 100_000)] * 2
+        data = np.frombuffer("".join(words).encode(), np.uint8)
+        starts = np.cumsum([0, *map(len, words)])[:-1]
+        for _ in range(3):
+            _, ids = cache.encode_all(data, starts, np.array([0, len(data)]))
+            assert ids.tolist() == [len(w) for w in words]
+
+
 # --- 1: rules
 
 
