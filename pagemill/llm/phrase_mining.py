@@ -35,6 +35,8 @@ from pagemill.llm.segments import ragged
 
 #: Frequent phrases of one length that a task gets as an array of 8 bytes each.
 HELD = 1 << 21
+#: Occurrences that a task extends together, and counted phrases that it sums before it hands them on.
+TOGETHER, TALLIED = 1 << 19, 1 << 20
 #: Rows that one group of a ranking holds.
 RANKED = 1 << 17
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -69,6 +71,33 @@ def _relation(bounds: np.ndarray, pos: np.ndarray, keys: np.ndarray) -> Iterator
     yield from _rows(n, kind=np.zeros(n, np.int32), **dict(zip(("pos", "keys"), arrays, strict=True)))
 
 
+class Tally:
+    """Counts by key of a task, summed over its batches; hands on rows of kind 1."""
+
+    def __init__(self):
+        self.parts: list[dict] = []
+        self.n = 0
+
+    def add(self, **columns) -> Iterator[pa.RecordBatch]:
+        """Different keys, their counts ``n``, and what belongs to each."""
+        self.parts.append(columns)
+        self.n += len(columns["key"])
+        if self.n >= TALLIED:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        parts, self.parts, self.n = self.parts, [], 0
+        if not parts:
+            return
+        _, first, which = np.unique(np.concatenate([p["key"] for p in parts]), return_index=True, return_inverse=True)
+        times = np.bincount(which, weights=np.concatenate([p["n"] for p in parts])).astype(np.int64)
+        out = {}
+        for name in parts[0]:
+            whole = [p[name] for p in parts]
+            out[name] = pa.concat_arrays(whole).take(pa.array(first)) if isinstance(whole[0], pa.Array) else np.concatenate(whole)[first]
+        yield from _rows(len(first), **out | {"kind": np.ones(len(first), np.int32), "n": times})
+
+
 def _language_hash(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
@@ -77,6 +106,7 @@ def words(documents: DataFrame) -> DataFrame:
     """The relation of single words (kind 0), and the count of each word of a batch (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
         for batch in batches:
             langs = batch["lang"].dictionary_encode()
             names = langs.dictionary.to_pylist()
@@ -100,14 +130,9 @@ def words(documents: DataFrame) -> DataFrame:
                 body = np.ascontiguousarray(chunk.data[ragged(chunk.starts[at], sizes)])
                 offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
                 texts = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(body))
-                yield from _rows(
-                    len(at),
-                    kind=np.ones(len(at), np.int32),
-                    lang=pa.array(names, pa.string()).take(pa.array(lang[at])),
-                    word=texts,
-                    key=different.view(np.int64),
-                    n=times.astype(np.int64),
-                )
+                named = pa.array(names, pa.string()).take(pa.array(lang[at]))
+                yield from tally.add(key=different.view(np.int64), n=times, lang=named, word=texts)
+        yield from tally.flush()
 
     rows = documents.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     return rows.mapInArrow(run, _KIND)
@@ -121,25 +146,26 @@ def longer(relation: DataFrame, frequent: np.ndarray | None) -> DataFrame:
     held = relation.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stays = held.value
+        stays, tally = held.value, Tally()
         for batch in batches:
-            if not len(batch):
-                continue
-            pos, keys = (batch[c].flatten().to_numpy() for c in ("pos", "keys"))
-            row = np.repeat(np.arange(len(batch)), np.diff(batch["pos"].offsets.to_numpy()))
-            if stays is not None:
-                spot = np.minimum(np.searchsorted(stays, keys), len(stays) - 1)
-                kept = np.flatnonzero(stays[spot] == keys)
-                pos, keys, row = pos[kept], keys[kept], row[kept]
-            at = np.flatnonzero((pos[1:] == pos[:-1] + 1) & (row[1:] == row[:-1]))
-            left, right = keys[at], keys[at + 1]
-            joined = bw.mix(bw.mix(left.view(np.uint64)) * np.uint64(3) + right.view(np.uint64))
-            yield from _relation(np.searchsorted(row[at], np.arange(len(batch) + 1)), pos[at], joined)
-            different, first, times = np.unique(joined, return_index=True, return_counts=True)
-            n = len(first)
-            yield from _rows(
-                n, kind=np.ones(n, np.int32), key=different.view(np.int64), left=left[first], right=right[first], n=times.astype(np.int64)
-            )
+            bounds = batch["pos"].offsets.to_numpy().astype(np.int64)
+            first = 0
+            while first < len(batch):
+                last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + TOGETHER, "right")) - 1)
+                pos, keys = (batch[c].values[bounds[first] : bounds[last]].to_numpy() for c in ("pos", "keys"))
+                row = np.repeat(np.arange(last - first, dtype=np.int32), np.diff(bounds[first : last + 1]))
+                if stays is not None:
+                    spot = np.minimum(np.searchsorted(stays, keys), len(stays) - 1)
+                    kept = np.flatnonzero(stays[spot] == keys)
+                    pos, keys, row = pos[kept], keys[kept], row[kept]
+                at = np.flatnonzero((pos[1:] == pos[:-1] + 1) & (row[1:] == row[:-1]))
+                left, right = keys[at], keys[at + 1]
+                joined = bw.mix(bw.mix(left.view(np.uint64)) * np.uint64(3) + right.view(np.uint64))
+                yield from _relation(np.searchsorted(row[at], np.arange(last - first + 1)), pos[at], joined)
+                different, where, times = np.unique(joined, return_index=True, return_counts=True)
+                yield from tally.add(key=different.view(np.int64), n=times, left=left[where], right=right[where])
+                first = last
+        yield from tally.flush()
 
     return relation.select("pos", "keys").mapInArrow(run, _KIND)
 
