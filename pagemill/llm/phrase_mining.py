@@ -14,7 +14,8 @@ shuffled, only counts, which are summed in the task first.  The frequent phrases
 length go to the tasks as a sorted array if these are at most ``HELD``; beyond that the
 semi-join is one of two tables, by phrase, and its rows are put together again.
 
-Phrases are known by 64-bit hashes, words by their text in the end.
+Words are known by 64-bit hashes and by their text in the end, longer phrases by the
+numbers of their parts (by 64-bit hashes where these are too many to be held).
 
 Defined results: a NULL text is empty, a NULL language is ``und``; repeated rows count
 each; other columns, and doc_id, are not looked at.
@@ -139,9 +140,11 @@ def words(documents: DataFrame) -> DataFrame:
 
 
 def longer(relation: DataFrame, frequent: np.ndarray | None) -> DataFrame:
-    """The relation of phrases one word longer (kind 0), and the counts of a batch (kind 1).
+    """The relation of phrases one word longer (kind 0), and their counts in a task (kind 1).
 
-    ``frequent`` are the sorted keys of the phrases that stay; None if the relation has no others.
+    ``frequent`` are the sorted keys of the phrases that stay.  A longer phrase is then known
+    by the numbers of its two parts among these, 32 bits each, which says what it is without
+    further columns.  None, if the relation has no others: it is known by a hash of both keys.
     """
     held = relation.sparkSession.sparkContext.broadcast(frequent)
 
@@ -157,13 +160,17 @@ def longer(relation: DataFrame, frequent: np.ndarray | None) -> DataFrame:
                 if stays is not None:
                     spot = np.minimum(np.searchsorted(stays, keys), len(stays) - 1)
                     kept = np.flatnonzero(stays[spot] == keys)
-                    pos, keys, row = pos[kept], keys[kept], row[kept]
+                    pos, keys, row = pos[kept], spot[kept], row[kept]
                 at = np.flatnonzero((pos[1:] == pos[:-1] + 1) & (row[1:] == row[:-1]))
                 left, right = keys[at], keys[at + 1]
-                joined = bw.mix(bw.mix(left.view(np.uint64)) * np.uint64(3) + right.view(np.uint64))
+                if stays is not None:
+                    joined = left << 32 | right
+                else:
+                    joined = bw.mix(bw.mix(left.view(np.uint64)) * np.uint64(3) + right.view(np.uint64)).view(np.int64)
                 yield from _relation(np.searchsorted(row[at], np.arange(last - first + 1)), pos[at], joined)
                 different, where, times = np.unique(joined, return_index=True, return_counts=True)
-                yield from tally.add(key=different.view(np.int64), n=times, left=left[where], right=right[where])
+                parts = {"left": left[where], "right": right[where]} if stays is None else {}
+                yield from tally.add(key=different, n=times, **parts)
                 first = last
         yield from tally.flush()
 
@@ -197,10 +204,18 @@ def frequent_phrases(documents: DataFrame, mining: Mining, scratch: Scratch) ->
             relation, keys = semi_join(relation, found, scratch, f"semi-{size}"), None
         grown = scratch.save(longer(relation, keys), f"words-{size}")
         scratch.drop("words" if size == 2 else f"words-{size - 1}", f"semi-{size}-numbered", f"semi-{size}-kept")
-        counts = grown.where("kind = 1").groupBy("key", "left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= mining.least)
-        counts = scratch.save(counts, f"counts-{size}")
-        head = found.select(F.col("key").alias("left"), "lang", "phrase")
-        tail = found.select(F.col("key").alias("right"), "last")
+        counted, f = grown.where("kind = 1"), F.sum("n").alias("f")
+        if keys is None:
+            counts, parts = counted.groupBy("key").agg(f, F.min("left").alias("left"), F.min("right").alias("right")), found
+            parts = parts.withColumn("part", F.col("key"))
+        else:
+            left, right = F.shiftright("key", 32).alias("left"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("right")
+            counts = counted.groupBy("key").agg(f).select("key", "f", left, right)
+            numbers = found.sparkSession.createDataFrame(pa.table({"key": keys, "part": np.arange(len(keys))}))  # at most HELD
+            parts = found.join(scratch.save(numbers, f"numbers-{size}"), "key")
+        counts = scratch.save(counts.where(F.col("f") >= mining.least), f"counts-{size}")
+        head = parts.select(F.col("part").alias("left"), "lang", "phrase")
+        tail = parts.select(F.col("part").alias("right"), "last")
         named = counts.join(head, "left").join(tail, "right")
         named = named.select("key", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f")
         seen, found = grown, scratch.save(named, f"frequent-{size}")
