@@ -1,5 +1,6 @@
 """DuckDB SQL for the registered queries, over the driver tables only."""
 
+from checks.corpus_oracles import ORACLES as CORPUS_ORACLES
 from pagemill.schemas import CATEGORY_URL
 
 _URL = CATEGORY_URL.removesuffix("%s")
@@ -241,4 +242,4 @@ ORACLES = {
           to_json(list(struct_pack(role := role, content := text) order by turn, role, text))::varchar as messages
         from turns group by conv_id""",
     "harvest_report": _with(["merged", "measured"], _completeness("merged", "measured")),
-}
+} | CORPUS_ORACLES

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks import corpus_queries
 from checks import fixtures as fx
 from pagemill.functions import html as H
 from pagemill.functions import text as X
@@ -400,4 +401,4 @@ QUERIES = {
         assemble_chat,
         harvest_report,
     )
-}
+} | corpus_queries.QUERIES

@@ -13,18 +13,18 @@ from pagemill.functions.text import decode_entities, strip
 MIN_CELLS = 5
 
 # Attributes up to the closing bracket; quoted values may hold a bracket.
-_ATTRS = r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+"""
+ATTRIBUTES = r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+"""
 _BLANKED = "<!>"
 _COMMENT = r"!--[^-]*+(?:-(?!->)[^-]*+)*+-->"
 _HIDDEN = rf"(?i)<(?:{_COMMENT}|(script|style)(?=[\s>])[^<]*+(?:<(?!/\1[\s>])[^<]*+)*+</\1\s*>)"
-_TAG = rf"<(?:!|/?[A-Za-z]{_ATTRS})>"
+_TAG = rf"<(?:!|/?[A-Za-z]{ATTRIBUTES})>"
 
 
 def _open(tag: str) -> str:
-    return rf"<{tag}(?=[\s>/]){_ATTRS}>"
+    return rf"<{tag}(?=[\s>/]){ATTRIBUTES}>"
 
 
-def _before(attribute: str) -> str:
+def attributes_before(attribute: str) -> str:
     """The attributes in front of the named one."""
     value = r"""(?:\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?"""
     return rf"""(?:\s+(?!{attribute}[\s=/>])[^\s=/>"']++{value})*+"""
@@ -33,7 +33,7 @@ def _before(attribute: str) -> str:
 def _open_with(tag: str, attribute: str, text: str) -> str:
     """Opening tag whose attribute contains a text."""
     contains = rf"""\s+{attribute}\s*=\s*(?:"[^"]*(?-i:{text})|'[^']*(?-i:{text}))"""
-    return rf"<{tag}(?={_before(attribute)}{contains}){_ATTRS}>"
+    return rf"<{tag}(?={attributes_before(attribute)}{contains}){ATTRIBUTES}>"
 
 
 def _content(tag: str) -> str:
@@ -51,8 +51,8 @@ _CELL = _element("td")
 _ANCHOR = rf"(?i){_open('a')}"
 _ANCHOR_BODY = _element("a")
 # The first anchor with, when it has one, the value of its target attribute.
-_HREF = rf"""(?i)<a(?=[\s>/]){_before('href')}(?:\s+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
-_HREF_NAME = rf"(?i)<a(?=[\s>/]){_before('href')}(\s+href[\s=/>])?"
+_HREF = rf"""(?i)<a(?=[\s>/]){attributes_before('href')}(?:\s+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
+_HREF_NAME = rf"(?i)<a(?=[\s>/]){attributes_before('href')}(\s+href[\s=/>])?"
 _PAGER = _element("ul", _open_with("ul", "class", "pagination"))
 _PAGER_ITEM = _element("li")
 _PAGER_ACTIVE = _element("li", _open_with("li", "class", "active"))
