@@ -70,8 +70,7 @@ def plan(spark: SparkSession, space: Workspace, force: bool = False) -> DataFram
     if metadata is None:
         metadata = spark.createDataFrame([], METADATA)
     eligible = metadata.join(reconcile.category_domain(spark), "id", "left_semi")
-    last = resume.last_progress(progress.read_progress(spark, space.progress))
-    return resume.resume_plan(eligible, last, force)
+    return resume.resume_plan(eligible, progress.read_last(spark, space.progress), force)
 
 
 def scrape(spark: SparkSession, pages_path: str, space: Workspace, force: bool = False, csv: bool = True) -> str | None:
@@ -131,9 +130,11 @@ def consolidate_chunks(spark: SparkSession, space: Workspace, force: bool = Fals
     Loads that arrive meanwhile stay for the next call.  Without chunks the
     catalog is left as it is.  The names of the loads are noted before the run is
     written and forgotten after the drop: if a job dies in between, the next one
-    finds the loads of the newest run and drops them without merging them again.
+    finds the loads of the newest run and drops them without merging them again, and
+    writes the CSV twin of that run if it is missing.
     """
     store = CatalogStore(spark, space.root)
+    store.finish_csv()
     chunks.delete_loads(spark, space.chunks, merged_loads(spark, space))
     names = chunks.loads(spark, space.chunks)
     stored = chunks.scan_chunks(spark, space.chunks, names)

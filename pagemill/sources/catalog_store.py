@@ -15,6 +15,7 @@ class CatalogStore:
         self.spark = spark
         self.parquet = f"{root}/categories"
         self.csv = f"{root}/categories_csv"
+        self.csv_due = f"{root}/categories_csv_due"
         self.duplicates = f"{root}/duplicates"
 
     def read(self) -> DataFrame | None:
@@ -27,13 +28,26 @@ class CatalogStore:
         return run is not None and storage.exists(self.spark, f"{snapshots.run_path(self.parquet, run)}/{_UNIQUE}")
 
     def write(self, rows: DataFrame, run: str, unique: bool, csv: bool = True) -> None:
-        """Write a new run, then its CSV twin from the files just written."""
+        """Write a new run, then its CSV twin from the files just written.
+
+        That a twin is due is noted before the run is complete, and until the twin is.
+        """
+        if csv:
+            storage.touch(self.spark, f"{snapshots.run_path(self.csv_due, run)}/_DUE")
         snapshots.write_run(rows.select(*CATALOG.names), self.parquet, run)
         if unique:
             storage.touch(self.spark, f"{snapshots.run_path(self.parquet, run)}/{_UNIQUE}")
         if csv:
+            self.finish_csv()
+
+    def finish_csv(self) -> None:
+        """Write the CSV twin of the newest run if it is due: after the run, or after a crash in between."""
+        run = snapshots.latest_run(self.spark, self.parquet)
+        due = run is not None and storage.exists(self.spark, f"{snapshots.run_path(self.csv_due, run)}/_DUE")
+        if due and not snapshots.is_complete(self.spark, self.csv, run):
             written = snapshots.read_run(self.spark, self.parquet, run, CATALOG)
             snapshots.write_run(written.select(*CATALOG_COLUMNS), self.csv, run, "csv")
+        storage.delete(self.spark, self.csv_due)
 
     def merge(self, new: DataFrame, run: str, mode: str = "merge", csv: bool = True, stage: str | None = None) -> None:
         """Consolidate new rows into the next run; an error fails the job.

@@ -35,6 +35,12 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in _fs(spark, path).listStatus(_path(spark, path)) if s.isDirectory())
 
 
+def parents_of(spark: SparkSession, path: str, pattern: str) -> list[str]:
+    """Names of the directories in ``path`` that hold a file like ``pattern``, sorted, by one call."""
+    found = _fs(spark, path).globStatus(_path(spark, f"{path}/*/{pattern}"))
+    return sorted({s.getPath().getParent().getName() for s in found or []})
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new directory name under the shared folder of the cluster.
 

@@ -325,3 +325,43 @@ def test_scratch_tables_go_to_the_shared_folder(spark):
 
     first, second = storage.shared_dir(spark), storage.shared_dir(spark)
     assert first.startswith(spark.conf.get("spark.checkpoint.dir")) and first != second
+
+
+def test_csv_twin_after_a_crash(spark, space, landing_dir, monkeypatch):
+    """The job dies between the parquet run and its twin; the next one writes the twin and merges nothing again."""
+    land(spark, landing_dir, P.category(1, [2, 1]))
+    write = snapshots.write_run
+
+    def dies(rows, table, run, file_format="parquet"):
+        if table.endswith("categories_csv"):
+            raise RuntimeError("lost")
+        write(rows, table, run, file_format)
+
+    monkeypatch.setattr(snapshots, "write_run", dies)
+    with pytest.raises(RuntimeError, match="lost"):
+        harvest.run(spark, landing_dir, space.root)
+    monkeypatch.setattr(snapshots, "write_run", write)
+    assert not os.path.exists(f"{space.root}/categories_csv") or not os.listdir(f"{space.root}/categories_csv")
+    harvest.run(spark, landing_dir, space.root)
+    store = CatalogStore(spark, space.root)
+    run = snapshots.latest_run(spark, store.parquet)
+    assert snapshots.complete_runs(spark, store.csv) == [run]
+    twin = snapshots.read_latest(spark, store.csv, CATALOG, "csv")
+    assert sorted(r.drug for r in twin.collect()) == drugs(spark, space) == sorted(names(1, [2, 1]))
+    assert not os.path.exists(store.csv_due)
+
+
+def test_plan_reads_last_entries(spark, space, landing_dir, tmp_path):
+    land(spark, landing_dir, P.category(1, [2, 2]) + P.category(2, [1]))
+    harvest.run(spark, landing_dir, space.root)
+    land(spark, landing_dir, P.category(1, [2, 2, 2])[2:])
+    harvest.run(spark, landing_dir, space.root)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(resume.last_progress(progress.read_progress(spark, space.progress)))
+    kept = f"{space.progress}/last/epoch=0"
+    assert rows(progress.read_last(spark, space.progress)) == want and len(want) == 2
+    assert sum(spark.read.parquet(f"{kept}/{n}").count() for n in os.listdir(kept)) <= 2 * len(os.listdir(kept))
+    # A load that was logged only.
+    os.remove(f"{kept}/{sorted(os.listdir(kept))[-1]}/_SUCCESS")
+    assert rows(progress.read_last(spark, space.progress)) == want
+    assert progress.read_last(spark, str(tmp_path / "none")).collect() == []
