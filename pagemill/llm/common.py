@@ -51,6 +51,19 @@ def ship_package(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*known, home]))
 
 
+#: Bytes of texts that a Python worker gets at once; the session's default is 64 MB.
+BATCH_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """What the operators need of a session: the package in its workers, and batches of bounded bytes.
+
+    Texts differ in length by orders of magnitude, so a number of rows bounds nothing.
+    """
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

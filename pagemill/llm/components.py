@@ -1,9 +1,55 @@
 """Connected components of a distributed edge table, by alternating stars."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import Scratch
+from pagemill.llm.common import Scratch, batches_of
+
+#: Edges that a task joins by itself.
+TOGETHER = 1 << 20
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges that are not the smallest of what they reach by these, and that one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[left], label[right]
+        if (x == y).all():
+            break
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """Edges with the same components: those that one task reads become stars, in bounded parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def joined() -> Iterator[pa.RecordBatch]:
+            if held:
+                a, b = least_reachable(*(np.concatenate([h[c].to_numpy() for h in held]) for c in ("a", "b")))
+                yield from batches_of({"a": a, "b": b}, _EDGES)
+
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= TOGETHER:
+                yield from joined()
+                held, n = [], 0
+        yield from joined()
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -19,7 +65,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     A round links, first, every larger neighbour of a node with its smallest
     neighbour (or itself), then every node and its smaller neighbours with the
-    smallest of them.  Each is a join of the edges with the minima.  The rounds
+    smallest of them.  Each is a join of the edges with the minima.  Before, what a
+    task reads becomes stars by itself, so a few edges take two rounds; the rounds
     grow with the logarithm of the longest path.  A node with very many neighbours
     is one row per input partition in the minima; these are written, so that the
     join is one of two tables, which adaptive execution splits at such a node.
@@ -31,7 +78,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if mark == tuple(seen):
             break
         mark, step = tuple(seen), step + 1
-        both = _both_ways(now)
+        both = _both_ways(scratch.save(stars(now), f"{name}-stars"))
         least = scratch.save(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{name}-least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = scratch.save(large.distinct(), f"{name}-large")

@@ -22,7 +22,7 @@ from pagemill.llm import (
     token_frames,
     tool_chat,
 )
-from pagemill.llm.common import WORD, Scratch, ship_package, table
+from pagemill.llm.common import WORD, Scratch, prepare, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -173,7 +173,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return query(spark, sf_dir)
 
     return run

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from pagemill.llm.common import ship_package
+from pagemill.llm.common import prepare
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SMALL = "/root/testdata/sf0.01"
@@ -14,7 +14,7 @@ CLASHING = "node string, key string, n string, score string, label string, band
 
 @pytest.fixture(scope="session", autouse=True)
 def shipped(spark):
-    ship_package(spark)
+    prepare(spark)
 
 
 def invented(seed: int, n: int, vocabulary: int = 4000) -> str:
