@@ -37,7 +37,7 @@ from pagemill.llm.segments import ragged
 #: Frequent phrases of one length that a task gets as an array of 8 bytes each.
 HELD = 1 << 21
 #: Occurrences that a task extends together, and counted phrases that it sums before it hands them on.
-TOGETHER, TALLIED = 1 << 19, 1 << 20
+TOGETHER, TALLIED = 1 << 18, 1 << 19
 #: Rows that one group of a ranking holds.
 RANKED = 1 << 17
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
