@@ -18,6 +18,11 @@ def canonical(name: Column) -> Column:
     return F.concat_ws(" ", F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)))
 
 
+def _without(text: Column, i: Column) -> Column:
+    """A text without its i-th character, from 1."""
+    return F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.char_length(text)))
+
+
 def deletions(name: Column, most: int) -> Column:
     """Hashes of ``name`` and of what is left of it without up to ``most`` characters.
 
@@ -28,26 +33,18 @@ def deletions(name: Column, most: int) -> Column:
     step = variants
     for _ in range(most):
         places = lambda v: F.sequence(F.lit(1), F.char_length(v))
-        without = lambda v, i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.char_length(v)))
-        cut = lambda v: F.when(F.char_length(v) > 0, F.transform(places(v), lambda i, v=v: without(v, i))).otherwise(F.array().cast("array<string>"))
+        cut = lambda v: F.when(F.char_length(v) > 0, F.transform(places(v), lambda i, v=v: _without(v, i))).otherwise(F.array().cast("array<string>"))
         step = F.array_distinct(F.flatten(F.transform(step, cut)))
         variants = F.concat(variants, step)
     return F.array_distinct(F.transform(variants, lambda v: F.xxhash64(v)))
 
 
-def similar_names(names: DataFrame, most: int, scratch: Scratch) -> DataFrame:
-    """(name_a, name_b, distance, n_a, n_b): pairs of different names within ``most`` edits, a before b.
+def _meeting(listed: DataFrame, scratch: Scratch, near: Column) -> DataFrame:
+    """(name_a, name_b): the pairs of ``listed`` (name, size, variant) in one list for which ``near`` holds.
 
-    ``names`` has a column ``name``; a NULL or blank one is left out, equal ones are one
-    name with a number of rows.  Pairs meet at equal deletion variants, not in blocks by a
-    part of the name: a variant holds names within 2 * ``most`` edits of each other, so a
-    list is as long as the names are really alike.  Short lists give pairs.  Of a list over
-    ``LONG`` each name is dealt to one of several slots and meets the others slot by slot,
-    so that no task holds a whole list.  Pairs are verified by their edit distance.
+    Short lists give pairs.  Of a list over ``LONG`` each name is dealt to one of several
+    slots and meets the others slot by slot, so that no task holds a whole list.
     """
-    known = names.select(canonical(F.col("name")).alias("name")).where("name <> ''").groupBy("name").agg(F.count("*").alias("n"))
-    known = scratch.save(known.withColumn("size", F.char_length("name")), "known")
-    listed = scratch.save(known.select("name", "size", F.explode(deletions(F.col("name"), most)).alias("variant")), "listed")
     long = listed.groupBy("variant").agg(F.count("*").alias("m")).where("m > 1")
     long = scratch.save(long.withColumn("slots", F.ceil(F.col("m") / LONG).cast("int")), "lists")
     shared = listed.join(long.select("variant", "slots"), "variant")
@@ -55,10 +52,39 @@ def similar_names(names: DataFrame, most: int, scratch: Scratch) -> DataFrame:
     left = shared.select("variant", mine.alias("slot"), F.col("name").alias("name_a"), F.col("size").alias("size_a"))
     every = F.explode(F.sequence(F.lit(0), F.col("slots") - 1))
     right = shared.select("variant", every.alias("slot"), F.col("name").alias("name_b"), F.col("size").alias("size_b"))
-    near = (F.col("name_a") < F.col("name_b")) & (F.abs(F.col("size_a") - F.col("size_b")) <= most)
-    pairs = left.join(right, ["variant", "slot"]).where(near).select("name_a", "name_b").distinct()
+    return left.join(right, ["variant", "slot"]).where((F.col("name_a") < F.col("name_b")) & near).select("name_a", "name_b")
+
+
+def _one_edit(known: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs within one edit.  Names of one length lose the character at the same place, so the
+    place is part of what they meet at; of two lengths the shorter one is a variant of the longer."""
+    places = F.posexplode(F.transform(F.sequence(F.lit(1), F.col("size")), lambda i: _without(F.col("name"), i))).alias("place", "rest")
+    cut = scratch.save(known.select("name", "size", places), "cut")
+    replaced = cut.select("name", "size", F.xxhash64("rest", "place").alias("variant"))
+    longer = cut.select(F.col("name").alias("long"), "rest").distinct()
+    inserted = longer.join(known.select(F.col("name").alias("short")), F.col("rest") == F.col("short"))
+    inserted = inserted.select(F.least("long", "short").alias("name_a"), F.greatest("long", "short").alias("name_b"))
+    return _meeting(replaced, scratch, F.col("size_a") == F.col("size_b")).union(inserted)
+
+
+def similar_names(names: DataFrame, most: int, scratch: Scratch) -> DataFrame:
+    """(name_a, name_b, distance, n_a, n_b): pairs of different names within ``most`` edits, a before b.
+
+    ``names`` has a column ``name``; a NULL or blank one is left out, equal ones are one
+    name with a number of rows.  Pairs meet at equal deletion variants, not in blocks by a
+    part of the name, so a list is as long as the names are really alike.  For one edit
+    lists hold names that differ at one place only; for more, names within 2 * ``most``
+    edits of each other.  Pairs are verified by their edit distance.
+    """
+    known = names.select(canonical(F.col("name")).alias("name")).where("name <> ''").groupBy("name").agg(F.count("*").alias("n"))
+    known = scratch.save(known.withColumn("size", F.char_length("name")), "known")
+    if most == 1:
+        met = _one_edit(known, scratch)
+    else:
+        listed = scratch.save(known.select("name", "size", F.explode(deletions(F.col("name"), most)).alias("variant")), "listed")
+        met = _meeting(listed, scratch, F.abs(F.col("size_a") - F.col("size_b")) <= most)
     distance = F.levenshtein("name_a", "name_b", most)
-    pairs = pairs.withColumn("distance", distance).where("distance >= 0")
+    pairs = met.distinct().withColumn("distance", distance).where("distance >= 0")
     count = lambda side: known.select(F.col("name").alias(f"name_{side}"), F.col("n").alias(f"n_{side}"))
     return pairs.join(count("a"), "name_a").join(count("b"), "name_b").select("name_a", "name_b", "distance", "n_a", "n_b")
 
