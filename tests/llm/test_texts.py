@@ -326,6 +326,35 @@ def test_votes_do_not_see_held_out_labels(spark):
     assert (a.vectors == b.vectors).all() and (a.labels == b.labels).all() and a.prior == b.prior
 
 
+def test_votes_by_force():
+    """All cosines, weights and ties, row by row, against the blocked products."""
+    rng = np.random.default_rng(8)
+    x = np.abs(rng.normal(size=(60, neighbour_vote.FEATURES))).astype(np.float32)
+    x[40:50] = x[30:40]  # equal sample rows with other labels: ties
+    x[55] = 0
+    labels = (np.arange(60) % 3 == 0).astype(np.float64)
+    settings = neighbour_vote.Settings(rank=6, neighbours=7)
+    model = neighbour_vote.fit_arrays(x, labels, {0: 40, 1: 20}, settings)
+    asked = np.concatenate([x[25:58], np.zeros((1, x.shape[1]), np.float32)] * 20)  # over two blocks
+    got = neighbour_vote.votes(model, asked)
+    assert len(asked) > 2 * neighbour_vote.BLOCK
+    for row, score in zip(asked, got, strict=True):
+        if not row.any():
+            assert score == model.prior
+            continue
+        v = (row * model.scale) @ model.basis
+        cosines = [max(0.0, float(v @ y / np.linalg.norm(v))) for y in model.vectors]
+        best = sorted(range(60), key=lambda j: (-round(cosines[j], 5), j))[:7]
+        weight = [cosines[j] ** settings.sharpness for j in best]
+        want = sum(w * labels[j] for w, j in zip(weight, best, strict=True)) / sum(weight)
+        assert abs(score - want) < 1e-3
+
+
+def test_ties_go_to_the_earlier_row():
+    near = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [0.2, 0.2, 0.2, 0.2, 0.2]], np.float32)
+    assert [sorted(r) for r in neighbour_vote._nearest(near, 3).tolist()] == [[0, 1, 2], [0, 1, 2]]
+
+
 # --- 7: frames
 
 
