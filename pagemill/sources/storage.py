@@ -1,12 +1,17 @@
 """Paths on the shared file system, by way of Hadoop's own client."""
 
 import os
+import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+_PREFIX = "pagemill-"
+
+
 def _path(spark: SparkSession, path: str):
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
@@ -41,8 +46,8 @@ def parents_of(spark: SparkSession, path: str, pattern: str) -> list[str]:
     return sorted({s.getPath().getParent().getName() for s in found or []})
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new directory name under the shared folder of the cluster.
+def _shared_base(spark: SparkSession) -> str:
+    """The shared folder of the cluster.
 
     The folder is ``spark.checkpoint.dir``.  Only a local session may go
     without it; a temporary folder of the machine is set for it then.
@@ -54,6 +59,27 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="pagemill-")
+        base = tempfile.mkdtemp(prefix=_PREFIX)
         context.setCheckpointDir(base)
-    return os.path.join(base, f"pagemill-{uuid.uuid4().hex}")
+    return base
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new directory name under the shared folder of the cluster."""
+    return os.path.join(_shared_base(spark), f"{_PREFIX}{uuid.uuid4().hex}")
+
+
+def cleanup(spark: SparkSession, older_than: float) -> list[str]:
+    """Remove the directories of ``shared_dir`` that nothing was added to for so many seconds; returns their names.
+
+    Results read their tables when they are used, so the age must be more than any of them lives.
+    """
+    base, until = _shared_base(spark), (time.time() - older_than) * 1000
+    if not exists(spark, base):
+        return []
+    found = _fs(spark, base).listStatus(_path(spark, base))
+    old = sorted(s.getPath().getName() for s in found if s.isDirectory() and s.getModificationTime() < until)
+    names = [n for n in old if re.fullmatch(f"{_PREFIX}[0-9a-f]{{32}}", n)]
+    for name in names:
+        delete(spark, os.path.join(base, name))
+    return names
