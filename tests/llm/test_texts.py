@@ -10,6 +10,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from pagemill.llm import bytewords as bw
@@ -439,6 +441,7 @@ def test_mix_reaches_targets(spark):
     total = sum(r._n for r in rows)
     for i, d in enumerate(model.domains):
         assert sum(r._n * r._p[i] * r._rate for r in rows) == pytest.approx(weights[d] * total, rel=1e-3)
+    assert model.residual == pytest.approx([0] * len(model.domains), abs=1e-3 * total)
     assert all(r._rate >= 0 and abs(r._copies - r._rate) <= 1 for r in rows)
     assert all(sum(r._p) == pytest.approx(1) for r in rows)
     good = {r.doc_id for r in known.where("quality = 1").collect()}  # the others are junk of no language
@@ -446,6 +449,34 @@ def test_mix_reaches_targets(spark):
     assert sum(judged) / len(judged) > 0.95
 
 
+def test_domains_of_unlabelled_documents(spark):
+    documents, known = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    domains = documents.join(known, "doc_id", "left_semi").select("doc_id", F.col("lang").alias("domain"))
+    model = soft_mixing.fit(documents, domains, ["en", "de", "fr", "es"])
+    rest = documents.join(known, "doc_id", "left_anti").select("doc_id", "lang", "text")
+    rows = soft_mixing.with_posteriors(rest, model).where("lang is not null and _n > 0").collect()
+    assert len(rows) > 500 and np.mean([model.domains[int(np.argmax(r._p))] == r.lang for r in rows]) >= 0.99
+    for r in rows[::7]:  # by force
+        words = {w for w in regex.split(r"[^\p{L}\p{N}]+", r.text.lower()) if w}
+        hashed = {xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words}
+        hashed = {(h - (1 << 64) if h >> 63 else h) % 4096 for h in hashed}
+        logits = [p + sum(w[b] for b in hashed) / model.temperature for p, w in zip(model.prior, model.weights, strict=True)]
+        odds = np.exp(np.array(logits) - max(logits))
+        assert r._p == pytest.approx(list(odds / odds.sum()), abs=1e-9)
+
+
+def test_every_domain_is_drawn(spark):
+    known = spark.createDataFrame([(i, "common" if i % 500 else "rare") for i in range(5000)], "doc_id long, domain string")
+    drawn = Counter(r.domain for r in soft_mixing.draw(known, ["common", "rare"], 100).collect())
+    assert drawn == {"common": 50, "rare": 10}
+
+
+def test_rates_that_do_not_settle_say_so(spark):
+    rows = spark.createDataFrame([(100, [0.5, 0.5]), (100, [0.4, 0.6])], "_n long, _p array<double>")
+    with pytest.warns(UserWarning, match="not settled"):
+        assert len(soft_mixing.fit_rates(rows, [150.0, 50.0], soft_mixing.Settings(max_steps=2))) == 2
+
+
 def test_rates_are_the_least_squares_fit(spark):
     """Rates of soft rows against a plain projected gradient in numpy, with a target out of reach."""
     rng = np.random.default_rng(4)
