@@ -132,8 +132,8 @@ def contiguous_prefix(page_counts: DataFrame) -> DataFrame:
 def before_stop(rows: DataFrame, stops: DataFrame) -> DataFrame:
     """Rows of pages before the stop of their category, if it has one.
 
-    Any category counts, NULL too.  ``stops`` has one row per category; adaptive
-    execution broadcasts it when it is small, and splits a large category if not.
+    Any category counts, NULL too.  ``stops`` has one row per category, so it is
+    broadcast: a shuffle by category would bring a large one into one task.
     """
-    joined = rows.join(stops, F.col("id").eqNullSafe(F.col("stop_id")), "left")
+    joined = rows.join(F.broadcast(stops), F.col("id").eqNullSafe(F.col("stop_id")), "left")
     return joined.where(F.col("stop").isNull() | (F.col("page") < F.col("stop"))).select(*rows.columns)

@@ -85,3 +85,21 @@ def test_log_entries_without_key_or_position_stay(spark):
     df = spark.createDataFrame(rows, "category_id int, seq bigint, current_page int")
     assert R.previous_in_log(df, "category_id", "seq", "current_page").count() == 4
     assert [tuple(r) for r in R.stalled_pages(df).where("category_id is null").collect()] == [(None, 12, 5)]
+
+
+def test_no_category_is_gathered_to_be_cut(spark):
+    """A third of the rows may be of one category: they stay in the tasks that read them, whatever the sizes."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 30_000, 1, 6).selectExpr("cast(if(id % 3 = 0, 1, 2 + id % 9) as int) id", "cast(id as int) page")
+    stops = rows.where("page % 5000 = 4999").groupBy(F.col("id").alias("stop_id")).agg(F.min("page").alias("stop"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cut = R.before_stop(rows, stops)
+        of_task = cut.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    least = {r.stop_id: r.stop for r in stops.collect()}
+    want = sum(r.page < least.get(r.id, 1 << 30) for r in rows.collect())
+    assert sum(r["count"] for r in of_task) == want and len(of_task) == 6
