@@ -235,7 +235,7 @@ def contiguous_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _landed(spark: SparkSession, sf_dir: str) -> tuple[str, harvest.Workspace]:
     root = storage.shared_dir(spark)
-    fx.listing_pages(spark, sf_dir).repartition("id", "page").write.parquet(f"{root}/landing")
+    landing.write_pages(fx.listing_pages(spark, sf_dir).repartition("id", "page"), f"{root}/landing")
     return f"{root}/landing", harvest.Workspace(f"{root}/space")
 
 
@@ -266,7 +266,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = harvest.Workspace(f"{root}/space")
     pages = snapshots.staged(fx.listing_pages(spark, sf_dir), f"{root}/pages", "1")
     for batch in (0, 1):
-        pages.where(F.col("batch") == batch).write.mode("append").parquet(f"{root}/landing")
+        landing.write_pages(pages.where(F.col("batch") == batch), f"{root}/landing")
         files = len(spark.read.schema(LISTING_PAGES).parquet(f"{root}/landing").inputFiles())
         ingest.stream_upsert(spark, f"{root}/landing", space, max(1, files // (2 * (batch + 1))))
     return CatalogStore(spark, space.root).read()
@@ -284,9 +284,9 @@ def harvest_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A harvest of the old pages, then a forced one of all: the catalog is replaced."""
     root = storage.shared_dir(spark)
     space, pages = harvest.Workspace(f"{root}/space"), fx.listing_pages(spark, sf_dir)
-    pages.where("batch = 0").write.parquet(f"{root}/landing")
+    landing.write_pages(pages.where("batch = 0"), f"{root}/landing")
     harvest.run(spark, f"{root}/landing", space.root)
-    pages.where("batch = 1").write.mode("append").parquet(f"{root}/landing")
+    landing.write_pages(pages.where("batch = 1"), f"{root}/landing")
     harvest.run(spark, f"{root}/landing", space.root, force=True)
     return CatalogStore(spark, space.root).read()
 
@@ -319,8 +319,8 @@ def relanded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = F.when(F.col("id") != 3, F.col("batch"))
     pages = snapshots.staged(fx.listing_pages(spark, sf_dir).withColumn("batch", batch), f"{root}/pages", "1")
     later = pages.where("page % 2 = 0").withColumn("html", F.replace("html", F.lit("<b>Drug"), F.lit("<b>Redrug")))
-    pages.write.parquet(f"{root}/landing")
-    later.unionByName(later).write.mode("append").parquet(f"{root}/landing")
+    landing.write_pages(pages, f"{root}/landing")
+    landing.write_pages(later.unionByName(later), f"{root}/landing")
     rows = []
     for way in ("batch", "stream"):
         space = harvest.Workspace(f"{root}/{way}")

@@ -18,6 +18,7 @@ _BLANKED = "<!>"
 _COMMENT = r"!--[^-]*+(?:-(?!->)[^-]*+)*+-->"
 _HIDDEN = rf"(?i)<(?:{_COMMENT}|(script|style)(?=[\s>])[^<]*+(?:<(?!/\1[\s>])[^<]*+)*+</\1\s*>)"
 _TAG = rf"<(?:!|/?[A-Za-z]{ATTRIBUTES})>"
+_MARK = "\x00"
 
 
 def _open(tag: str) -> str:
@@ -89,10 +90,16 @@ def row_count(markup: Column) -> Column:
 
 
 def text_of(markup: Column) -> Column:
-    """Text pieces between tags, each stripped, joined without a separator."""
-    tags = F.contains(markup, F.lit("<"))
-    pieces = F.when(tags, F.split(markup, _TAG)).otherwise(F.array(markup))
-    return F.array_join(F.transform(pieces, lambda piece: strip(decode_entities(piece))), "")
+    """Text pieces between tags, each stripped, joined without a separator.
+
+    ``split`` compiles its pattern for every text, unless it is one character, so
+    tags are replaced by one that the text does not have.  Only a text with that
+    character in it is split by the pattern.
+    """
+    by_mark = F.split(F.regexp_replace(markup, _TAG, _MARK), _MARK)
+    pieces = F.when(F.contains(markup, F.lit(_MARK)), F.split(markup, _TAG)).otherwise(by_mark)
+    text = F.array_join(F.transform(pieces, lambda piece: strip(decode_entities(piece))), "")
+    return F.when(F.contains(markup, F.lit("<")), text).otherwise(F.coalesce(strip(decode_entities(markup)), F.lit("")))
 
 
 def href_markup(markup: Column) -> Column:

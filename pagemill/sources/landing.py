@@ -11,6 +11,8 @@ from pagemill.schemas import LISTING_PAGES
 
 # The order of landings of a page: batch, time of its file, and the row's place.
 LANDING = ["batch", "landed", "at"]
+# Packed bytes of pages that one task has to read together.
+ROW_GROUP = 2 << 20
 
 
 def _located(pages: DataFrame) -> DataFrame:
@@ -22,6 +24,15 @@ def _located(pages: DataFrame) -> DataFrame:
     )
 
 
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Add pages to a landing directory.
+
+    A row group is read by one task, and markup packs well: a group of the usual 128 MB
+    would hold pages for minutes of extraction, and a landing give work to a few tasks only.
+    """
+    pages.write.mode("append").option("parquet.block.size", ROW_GROUP).parquet(path)
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return _located(spark.read.schema(LISTING_PAGES).parquet(path))
 

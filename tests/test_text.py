@@ -53,3 +53,12 @@ def test_entities_of_any_length(spark):
     texts = ["&#00000065;", "&#x0000000041;", "&#150;", "&#129;", "a\uffffb &#8364;", "&#99999999999999999999;", "&#xFFFFFFFFFFFFFFFFFF;", "&#0;", "& &amp;lt; &"]
     wanted = ["A", "A", "\u2013", "\x81", "a\uffffb \u20ac", "\ufffd", "\ufffd", "\ufffd", "& &lt; &"]
     assert values(spark, texts, X.decode_entities) == wanted
+
+
+def test_text_between_tags_with_the_mark_in_it(spark):
+    from pagemill.functions import html as H
+
+    cells = ["a\x00 b<b> c \x00</b> d", " a<b> \x00 </b>\x00", "\x00", " x\x00 ", "a <i> $1 \\ </i> b", "<b></b>", " &lt;b> ", None, ""]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").repartition(2)
+    found = [r.t for r in df.select("i", H.text_of(F.col("c")).alias("t")).orderBy("i").collect()]
+    assert found == ["a\x00 bc \x00d", "a\x00\x00", "\x00", "x\x00", "a$1 \\b", "", "<b>", "", ""]
