@@ -2,7 +2,9 @@
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +93,49 @@ def similar_names(names: DataFrame, most: int, scratch: Scratch) -> DataFrame:
 
 #: Names of one deletion variant that meet in one task.
 LONG = 4096
+#: Words of a dictionary that the tasks get as a trie.
+HELD = 1 << 20
+
+
+class Trie:
+    """Names as sorted arrays: a node of n words is known by the node of the words before it and the last word."""
+
+    def __init__(self, entities: list[str]):
+        split = [e.split(" ") for e in entities]
+        vocabulary = sorted({w for words in split for w in words})
+        number = {w: i for i, w in enumerate(vocabulary)}
+        self.words, self.entities = pa.array(vocabulary, pa.string()), pa.array(entities, pa.string())
+        self.keys, self.name = [], []  # of the nodes of each size: sorted keys, and the name that ends there or -1
+        going = [(0, i) for i in range(len(split))]  # (node of the words so far, name)
+        while going:
+            size = len(self.keys)
+            here = np.array([node * len(vocabulary) + number[split[i][size]] for node, i in going], np.int64)
+            keys, nodes = np.unique(here, return_inverse=True)
+            name = np.full(len(keys), -1, np.int64)
+            for node, (_, i) in zip(nodes.tolist(), going, strict=True):
+                if len(split[i]) == size + 1:
+                    name[node] = i
+            going = [(node, i) for node, (_, i) in zip(nodes.tolist(), going, strict=True) if len(split[i]) > size + 1]
+            self.keys.append(keys)
+            self.name.append(name)
+
+    def longest(self, words: pa.Array, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places where names begin, with the size and number of the longest; ``ends`` is where the text of each word ends."""
+        number = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy().astype(np.int64)
+        size, name = np.zeros(len(number), np.int64), np.full(len(number), -1, np.int64)
+        at, node = np.arange(len(number)), np.zeros(len(number), np.int64)
+        for n, (keys, names) in enumerate(zip(self.keys, self.name, strict=True)):
+            inside = at + n < ends[at]
+            at, node = at[inside], node[inside]
+            word = number[at + n]
+            key = node * len(self.words) + word
+            node = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            found = (word >= 0) & (keys[node] == key)
+            at, node = at[found], node[found]
+            whole = names[node] >= 0
+            size[at[whole]], name[at[whole]] = n + 1, names[node[whole]]
+        begin = np.flatnonzero(size)
+        return begin, size[begin], name[begin]
 
 
 def trie(entities: DataFrame) -> DataFrame:
@@ -112,11 +157,51 @@ def dictionary_entities(documents: DataFrame, entities: DataFrame, scratch: Scra
     order, and one that begins inside the match before it is dropped.  ``start`` counts
     words from 0.  Sentence marks separate words and are not part of them, so a name may
     stand across a mark.  Every row is matched by itself; NULL texts have no names.
+
+    A dictionary of up to ``HELD`` words goes to the tasks, and a text is matched in the
+    one that reads it.  Beyond that its places and the names are two tables that are joined.
     """
     names = scratch.save(trie(entities), "names")
-    longest = names.agg(F.max("size")).first()[0] or 1
-    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)).alias("w"))
+    longest, n_words = names.agg(F.max("size"), F.sum("size")).first()
+    if (n_words or 0) <= HELD:
+        return _held_entities(documents, names.select("entity").toArrow()["entity"].to_pylist())
+    return _joined_entities(documents, names, longest)
+
+
+def _words(text: str) -> Column:
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
+
+
+def _held_entities(documents: DataFrame, entities: list[str]) -> DataFrame:
+    held = documents.sparkSession.sparkContext.broadcast(Trie(entities))
+    rows = documents.select("doc_id", F.coalesce(_words("text"), F.array().cast("array<string>")).alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets = batch["w"].offsets.to_numpy().astype(np.int64)
+            words = batch["w"].values.slice(offsets[0], offsets[-1] - offsets[0])
+            offsets -= offsets[0]
+            sizes = np.diff(offsets)
+            begin, size, name = held.value.longest(words, np.repeat(offsets[1:], sizes))
+            # No match reaches into the next text, so one pass from left to right does for all.
+            end, kept = 0, []
+            for i, (at, n) in enumerate(zip(begin.tolist(), size.tolist(), strict=True)):
+                if at >= end:
+                    kept.append(i)
+                    end = at + n
+            kept = np.array(kept, np.int64)
+            row = np.searchsorted(offsets, begin[kept], "right") - 1
+            columns = [batch["doc_id"].take(pa.array(row)), pa.array((begin[kept] - offsets[row]).astype(np.int32))]
+            columns += [pa.array(size[kept].astype(np.int32)), held.value.entities.take(pa.array(name[kept]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "size", "entity"])
+
+    kind = documents.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit("").alias("entity")).schema
+    return rows.mapInArrow(run, kind)
+
+
+def _joined_entities(documents: DataFrame, names: DataFrame, longest: int) -> DataFrame:
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", _words("text").alias("w"))
     ahead = F.transform("w", lambda x, i: F.struct(i.alias("start"), x.alias("first"), F.slice("w", i + 1, F.lit(longest)).alias("ahead")))
     places = rows.select("row", "doc_id", F.explode(ahead).alias("p")).select("row", "doc_id", "p.*")
     fits = F.slice("ahead", F.lit(1), F.col("size")) == F.col("words")

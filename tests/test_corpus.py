@@ -107,6 +107,33 @@ def test_dictionary_takes_the_leftmost_and_longest(spark, scratch):
     assert names.dictionary_entities(df, empty, scratch).collect() == []
 
 
+def entities_by_force(texts, known):
+    dictionary, out = {tuple(k.split()) for k in known}, []
+    for doc_id, text in texts:
+        w, at = (text or "").split(), 0
+        while at < len(w):
+            size = max((n for n in range(1, 6) if tuple(w[at : at + n]) in dictionary and at + n <= len(w)), default=0)
+            if size:
+                out.append((doc_id, at, size, " ".join(w[at : at + size])))
+            at += max(1, size)
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("held", [0, 1 << 20])
+def test_dictionary_by_force(spark, scratch, monkeypatch, held):
+    monkeypatch.setattr(names, "HELD", held, raising=False)
+    rng = random.Random(held)
+    known = [" ".join(rng.choice("abcdé") for _ in range(rng.choice([1, 2, 3, 5]))) for _ in range(25)]
+    known = [k for k in known if k not in ("a", "b")]
+    texts = [(i // 2, " ".join(rng.choice("abcdéx") for _ in range(rng.choice([0, 1, 4, 60])))) for i in range(80)] + [(99, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    found = names.dictionary_entities(df, spark.createDataFrame([(k,) for k in known], "name string"), scratch)
+    assert rows_of(found) == entities_by_force(texts, known)
+    # A text is matched in the task that reads it.
+    source = names.dictionary_entities(spark.range(9).selectExpr("id doc_id", "'a b' text"), spark.createDataFrame([("a b",)], "name string"), scratch)
+    assert ("Exchange" in source._jdf.queryExecution().executedPlan().toString()) == (not held)
+
+
 # --- pages and lines
 
 PAGE = """<!DOCTYPE html><html><head><title> A &amp;
