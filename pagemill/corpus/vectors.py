@@ -18,6 +18,7 @@ query's neighbours have other ids.
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pagemill.sources.scratch import Scratch
 
 #: Numbers of the queries in one broadcast, and of one block of products.
-ROUND_NUMBERS, BLOCK_NUMBERS = 1 << 22, 1 << 21
+ROUND_NUMBERS, BLOCK_NUMBERS = 1 << 22, 1 << 19
 DIGITS = 9
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 FOUND = "query_id long, vec_id long, score double"
@@ -57,8 +58,15 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def _matrix(units: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    rows = units.to_pylist()
-    return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 1))
+    """The units, all of one length, as rows of a matrix, where they lie."""
+    if isinstance(units, pa.ChunkedArray):
+        units = units.combine_chunks()
+    if not len(units):
+        return np.zeros((0, 1))
+    wide = pa.types.is_large_binary(units.type)
+    _, offsets, body = units.buffers()
+    ends = np.frombuffer(offsets, np.int64 if wide else np.int32)[units.offset : units.offset + len(units) + 1]
+    return np.frombuffer(body, np.uint8)[ends[0] : ends[-1]].view(np.float64).reshape(len(units), -1)
 
 
 class Best:
@@ -70,20 +78,33 @@ class Best:
         self.id = np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def take(self, ids: np.ndarray, y: np.ndarray) -> None:
-        step = max(1, BLOCK_NUMBERS // max(1, len(self.ids)))
-        for a in range(0, len(ids), step):
-            part = ids[a : a + step]
-            scores = np.round(self.x @ y[a : a + step].T, DIGITS)
-            scores[self.ids[:, None] == part[None, :]] = -np.inf
-            # A row enters where it beats the last one that is held.
-            some = np.flatnonzero((scores >= self.score[:, -1:]).any(1))
-            if not len(some):
-                continue
-            score = np.concatenate([self.score[some], scores[some]], 1)
-            named = np.concatenate([self.id[some], np.broadcast_to(part, (len(some), len(part)))], 1)
-            order = np.lexsort((named, -score), axis=1)[:, : self.k]
-            self.score[some] = np.take_along_axis(score, order, 1)
-            self.id[some] = np.take_along_axis(named, order, 1)
+        # Blocks are cut on both sides, so that what is held at once does not grow with the queries.
+        wide = max(1, 2 * isqrt(BLOCK_NUMBERS))
+        step = max(1, BLOCK_NUMBERS // max(1, min(wide, len(self.ids))))
+        for b in range(0, len(self.ids), wide):
+            for a in range(0, len(ids), step):
+                self._take(slice(b, b + wide), ids[a : a + step], y[a : a + step])
+
+    def _take(self, mine: slice, ids: np.ndarray, y: np.ndarray) -> None:
+        scores = self.x[mine] @ y.T
+        np.round(scores, DIGITS, out=scores)
+        scores[self.ids[mine, None] == ids[None, :]] = -np.inf
+        # A row enters where it beats the last one that is held.
+        some = np.flatnonzero((scores >= self.score[mine, -1:]).any(1))
+        if not len(some):
+            return
+        at, scores, k = some + mine.start, scores[some], self.k
+        least = self.score[at, -1]
+        if len(ids) > k:
+            least = np.maximum(least, np.partition(scores, len(ids) - k, axis=1)[:, -k])
+        r, c = np.nonzero(scores >= least[:, None])  # ties too
+        row = np.concatenate([np.repeat(np.arange(len(at)), k), r])
+        score = np.concatenate([self.score[at].ravel(), scores[r, c]])
+        named = np.concatenate([self.id[at].ravel(), ids[c]])
+        order = np.lexsort((named, -score, row))
+        row = row[order]
+        first = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+        self.score[at], self.id[at] = score[first].reshape(-1, k), named[first].reshape(-1, k)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         q, c = np.nonzero(np.isfinite(self.score))

@@ -70,6 +70,28 @@ def test_index_in_cells(spark, scratch, monkeypatch):
     assert got[0] == exact.count() and got[1] >= 0.9 * got[0]
 
 
+def test_what_a_block_holds_does_not_grow_with_the_queries():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, most = np.random.default_rng(3), []
+    y = rng.normal(size=(400, 8))
+    for n in (4_000, 64_000):
+        x = rng.normal(size=(n, 8))
+        best = vectors.Best(np.arange(n) + 1000, x, 3)
+        tracemalloc.start()
+        best.take(np.arange(400), y)
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        at = rng.integers(0, n, 20)
+        want = np.argsort(-(x[at] @ y.T), axis=1)[:, :3]
+        assert (best.id[at] == want).all()
+    assert most[1] < 1.5 * most[0]
+    part = pa.array([v.tobytes() for v in y], pa.binary()).slice(3, 50)
+    assert (vectors._matrix(part) == y[3:53]).all() and (vectors._matrix(pa.chunked_array([part, part]))[50:] == y[3:53]).all()
+
+
 # --- names
 
 
