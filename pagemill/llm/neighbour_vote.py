@@ -30,8 +30,8 @@ SHAPES, WORDS, MARKS = 1024, 1024, 4
 FEATURES = SHAPES + WORDS + MARKS
 #: Share of each block in the squared length of a vector.
 BLOCK_WEIGHTS = (0.5, 0.1, 0.4)
-#: Documents whose products with the sample are in memory together.
-BLOCK = 256
+#: Documents whose products with the sample are in memory together, and whose features are.
+BLOCK, CHUNK_TEXTS = 256, 1024
 
 
 @dataclass(frozen=True)
@@ -196,7 +196,7 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings | None = Non
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in bw.chunks(batch["text"]):
+            for chunk in bw.chunks(batch["text"], max_texts=CHUNK_TEXTS):
                 part = slice(chunk.first, chunk.first + len(chunk))
                 yield from batches_of(
                     {
@@ -225,7 +225,7 @@ def score(documents: DataFrame, model: Model, keep: list[str] | None = None, lea
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in bw.chunks(batch["text"]):
+            for chunk in bw.chunks(batch["text"], max_texts=CHUNK_TEXTS):
                 got = votes(held.value, features(chunk))
                 part = batch.slice(chunk.first, len(chunk))
                 if least > 0 and not (stay := got >= least).all():
