@@ -37,7 +37,9 @@ from pagemill.llm.segments import ragged
 #: Frequent phrases of one length that a task gets as an array of 8 bytes each.
 HELD = 1 << 21
 #: Occurrences that a task extends together, and counted phrases that it sums before it hands them on.
-TOGETHER, TALLIED = 1 << 18, 1 << 19
+TOGETHER, TALLIED = 1 << 18, 1 << 20
+#: Bytes of the relation that a task writes together; one task reads and sums them, so fewer counts are shuffled.
+RELATION_BYTES = 128 << 20
 #: Rows that one group of a ranking holds.
 RANKED = 1 << 17
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -187,7 +189,7 @@ def semi_join(relation: DataFrame, frequent: DataFrame, scratch: Scratch, name:
 
 def frequent_phrases(documents: DataFrame, mining: Mining, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of all frequent phrases, single words too; and (lang, n) of all words."""
-    seen = scratch.save(words(documents), "words")
+    seen = scratch.save(words(documents), "words", RELATION_BYTES)
     counted = seen.where("kind = 1")
     totals = scratch.save(counted.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     found = counted.groupBy("lang", "word", "key").agg(F.sum("n").alias("f")).where(F.col("f") >= mining.least)
@@ -202,7 +204,7 @@ def frequent_phrases(documents: DataFrame, mining: Mining, scratch: Scratch) ->
             keys = np.sort(found.select("key").toArrow()["key"].to_numpy())
         else:
             relation, keys = semi_join(relation, found, scratch, f"semi-{size}"), None
-        grown = scratch.save(longer(relation, keys), f"words-{size}")
+        grown = scratch.save(longer(relation, keys), f"words-{size}", RELATION_BYTES)
         scratch.drop("words" if size == 2 else f"words-{size - 1}", f"semi-{size}-numbered", f"semi-{size}-kept")
         counted, f = grown.where("kind = 1"), F.sum("n").alias("f")
         if keys is None:

@@ -1,4 +1,4 @@
-"""What a task holds at once is bounded in bytes: texts, and rows before they are written."""
+"""What a task holds at once is bounded in bytes: texts, results on their way back, rows before they are written."""
 
 import glob
 
@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from pagemill.llm import bytewords as bw
-from pagemill.llm import common, neighbour_vote
+from pagemill.llm import common, neighbour_vote, phrase_mining
 from pagemill.llm.common import Scratch, prepare
 
 # --- pipeline: texts are read and scored in small parts
@@ -42,6 +42,22 @@ def test_features_of_many_short_texts_are_made_in_parts(spark, monkeypatch):
     assert neighbour_vote.score(docs, model).count() == 5000
 
 
+# --- op12_collocations: results and tables in small parts
+
+
+def test_results_come_back_in_bounded_batches():
+    n = 600_000
+    keys = np.arange(n, dtype=np.int64)
+    words = pa.array([f"word-{k}" for k in range(n)])
+    batches = list(phrase_mining._rows(n, kind=np.ones(n, np.int32), key=keys, n=keys, word=words))
+    assert max(b.nbytes for b in batches) <= 1.1 * common.BATCH_BYTES
+    table = pa.Table.from_batches(batches)
+    assert table["key"].to_pylist() == keys.tolist() and table["word"].combine_chunks().equals(words)
+    wide = pa.schema([("x", pa.string())])
+    assert [len(b) for b in common.batches_of({"x": ["y" * common.BATCH_BYTES, "z" * common.BATCH_BYTES]}, wide)] == [1, 1]
+    assert not list(common.batches_of({"x": []}, wide))
+
+
 def test_scratch_tables_have_small_row_groups(spark):
     scratch = Scratch(spark)
     ids = spark.range(0, 4_000_000, 1, 1).select(F.xxhash64("id").alias("x"))
